@@ -260,13 +260,16 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     return _run(df, ids, schema, kernel, path, None)
 
 
-def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """key, n_tokens, and the SHA-256 of the ids and of what they decode to; encoded and decoded in one pass, so that ids needn't leave the worker."""
+def round_trip(df: DataFrame, keep: list[str] | None = None, text: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """The columns keep (doc_id, if None), n_tokens, the SHA-256 of the ids and of what they decode to, and the ids if asked for; encoded and decoded in one pass, so that ids needn't leave the worker."""
+    keep = ["doc_id"] if keep is None else keep
 
     def kernel(c: Codec, rows: pa.Table) -> pa.Table:
-        ids = c.encode(texts(rows.column(text)))
+        ids = c.encode(texts(rows.column("__text")))
         digest = lambda xs: [hashlib.sha256(x).hexdigest() for x in xs]
-        return pa.table({key: rows.column(key), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": digest(ids), "decoded_sha256": digest(c.decode(ids))})
+        made = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": digest(ids), "decoded_sha256": digest(c.decode(ids))}
+        return pa.table({k: rows.column(k) for k in keep} | made | ({"ids": _lists(ids)} if with_ids else {}))
 
-    kind = df.schema[key].dataType.simpleString()
-    return _run(df.select(df[key], df[text]), text, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", kernel, path, pattern)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    schema = f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _run(df.select(*[df[k] for k in keep], df[text].alias("__text")), "__text", schema, kernel, path, pattern)

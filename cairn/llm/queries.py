@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, simhash, toxicity
+from . import bpe, licences, mixing, multiset_hash, pii, quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
@@ -31,11 +35,28 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted", "guessed_lang")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality_forest, op3_pii, op5_toxicity, op9_simhash)
+    f.__name__: f
+    for f in (op1_bpe, op2_quality_forest, op3_pii, op4_warc, op5_toxicity, op6_mixing, op7_licences, op8_multiset_hash, op9_simhash, op10_url_filter)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_warc": warc.SQL, "op7_licences": licences.sql(), "op10_url_filter": url_filter.SQL}

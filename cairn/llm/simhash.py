@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remove, small_batches, written
+from .common import map_texts, remove, written
 
 RADIUS = 2
 WIDTH = 3
@@ -196,14 +196,30 @@ def components(links_: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), "label").union(edges.select(F.col("b"), F.col("b")).dropDuplicates())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """key, fingerprint (16 hex digits) and component_id, the least key that links reach, for every row."""
-    small_batches(docs.sparkSession, 2000)
-    printed, _ = written(fingerprints(docs, key, text), "fingerprints")
-    distinct, _ = written(printed.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+def _named(printed: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id and label (the least fingerprint of the component), from key and fp."""
+    distinct, _ = written(printed.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     labels = components(candidate_links(distinct, radius))
     labelled, _ = written(distinct.join(labels, distinct.fp == labels.node).select("fp", "label", "least"), "labels")
     lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = labelled.join(lowest, "label").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = labelled.join(lowest, "label").select("fp", "component_id", "label")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """key, fingerprint (16 hex digits) and component_id, the least key that links reach, for every row."""
+    printed, _ = written(fingerprints(docs, key, text).withColumnRenamed(key, "key"), "fingerprints")
+    found = printed.join(_named(printed, radius), "fp")
+    return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the least key, null being last; rows of equal keys are told apart by their text."""
+    own = docs.withColumn("__h", F.xxhash64(docs[text]))
+    kind = docs.schema[key].dataType.simpleString()
+    keyed = own.select(own[key].alias("key"), "__h", own[text].alias("text"))
+    printed, _ = written(map_texts(keyed, ["key", "__h"], "text", f"key {kind}, __h bigint, fp bigint", lambda ts: {"fp": np.array([fingerprint(t) for t in ts], np.uint64).view(np.int64)}), "fingerprints")
+    found = printed.join(_named(printed, radius).select("fp", "label"), "fp")
+    stays = found.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__h")).alias("m")).select(F.col("m.key").alias("__key"), F.col("m.__h").alias("__same"))
+    kept = own.join(stays, own[key].eqNullSafe(stays["__key"]) & (own["__h"] == stays["__same"]), "left_semi")
+    return kept.dropDuplicates([key, "__h"]).select(*docs.columns)
