@@ -1,53 +1,8 @@
 """Every registered query of the library proper, with the SQL that must agree where SQL can express it."""
 
-from __future__ import annotations
+from . import registry
+from .operators import chunks, metrics, reconstruction, repositories, rules  # noqa: F401  they register their queries
+from .plans import containers  # noqa: F401
+from .streaming import ingest  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function (spark, sf_dir) under its name, with its SQL."""
-
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-FIXED_CHUNK = 1024
-
-
-def fixed_chunks(docs: DataFrame, size: int = FIXED_CHUNK) -> DataFrame:
-    """Each document's bytes cut every `size` bytes; only positions, lengths and hashes leave the scan."""
-    data = docs.select("doc_id", "source", F.col("text").cast("binary").alias("data")).where(F.octet_length("data") > 0)
-    at = data.select("doc_id", "source", "data", F.posexplode(F.sequence(F.lit(0), ((F.octet_length("data") - 1) / size).cast("int"))).alias("pos", "i"))
-    part = F.substring("data", F.col("i") * size + 1, F.lit(size))
-    return at.select("doc_id", "source", F.col("pos").cast("bigint").alias("pos"), (F.col("pos") * size).cast("bigint").alias("byte_start"), F.octet_length(part).cast("bigint").alias("raw_len"), F.sha2(part, 256).alias("raw_hash"))
-
-
-_CHUNKS = """
-WITH b AS (SELECT doc_id, source, encode(text) AS data, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0),
-chunks AS (SELECT doc_id, source, i AS pos, i * 1024 AS byte_start, least(1024, n - i * 1024) AS raw_len,
-  sha256(unhex(substr(hex(data), (i * 2048 + 1)::BIGINT, 2048))) AS raw_hash FROM b, LATERAL (SELECT unnest(range(0, (n + 1023) // 1024)) AS i))
-"""
-
-
-@query(_CHUNKS + """SELECT source, count(*) AS n_chunks, sum(raw_len)::BIGINT AS raw_bytes, (SELECT sum(u.raw_len) FROM (SELECT DISTINCT source, raw_hash, raw_len FROM chunks) u WHERE u.source = c.source)::BIGINT AS stored_bytes
-FROM chunks c GROUP BY source""")
-def q04_dedup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Equal chunks of a source collapse first, so that the second aggregation is over partial sums.
-    distinct = fixed_chunks(table(spark, sf_dir, "documents")).groupBy("source", "raw_hash").agg(F.count("*").alias("n"), F.sum("raw_len").alias("raw"), F.max("raw_len").alias("stored"))
-    return distinct.groupBy("source").agg(F.sum("n").alias("n_chunks"), F.sum("raw").alias("raw_bytes"), F.sum("stored").alias("stored_bytes"))
+QUERIES, SQL = registry.QUERIES, registry.SQL
