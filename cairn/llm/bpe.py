@@ -34,6 +34,8 @@ CACHE_ENTRIES = 600_000
 #: Words' bytes in one recursive query; keeps its rows, over all rounds, within DUCKDB_MEMORY.
 QUERY_BYTES = 400_000
 DUCKDB_MEMORY = "256MB"
+#: Ids in one decoding query.
+DECODE_TOKENS = 250_000
 
 ENCODE_SHORT = """
 WITH RECURSIVE tokens(round, word, pos, stop, token) AS (
@@ -78,7 +80,7 @@ SELECT word, list(token ORDER BY pos) AS ids FROM tokens
 WHERE (word, round) IN (SELECT word, max(round) FROM tokens GROUP BY word) GROUP BY word ORDER BY word
 """
 
-#: One ordered aggregation for a whole batch; the documents' lengths cut it.
+#: One ordered aggregation for many documents' ids; the documents' lengths cut it.
 DECODE = "SELECT string_agg(piece, '' ORDER BY pos) FROM ids JOIN vocabulary USING (token)"
 LENGTHS = "SELECT doc, sum(length(piece))::BIGINT AS n, count(*) AS tokens FROM ids JOIN vocabulary USING (token) GROUP BY doc"
 
@@ -201,15 +203,19 @@ class Codec:
         """The bytes of each list of ids. An id without a token is an error."""
         lengths = np.array([len(x) // 4 for x in batch], np.int64)
         token = np.frombuffer(b"".join(batch), "<u4").astype(np.int32)
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(batch), dtype=np.int32), lengths), "pos": np.arange(len(token), dtype=np.int32), "token": token}))
-        latin = self.db.sql(DECODE).fetchall()[0][0] or ""
-        sizes = self.db.sql(LENGTHS).to_arrow_table()
-        self.db.unregister("ids")
+        doc, data = np.repeat(np.arange(len(batch), dtype=np.int32), lengths), []
         n, tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-        n[sizes.column("doc").to_numpy()], tokens[sizes.column("doc").to_numpy()] = sizes.column("n").to_numpy(), sizes.column("tokens").to_numpy()
+        for lo in range(0, len(token), DECODE_TOKENS):
+            part = slice(lo, lo + DECODE_TOKENS)
+            self.db.register("ids", pa.table({"doc": doc[part], "pos": np.arange(len(token[part]), dtype=np.int32), "token": token[part]}))
+            data.append((self.db.sql(DECODE).fetchall()[0][0] or "").encode("latin-1"))
+            for i, size, count in self.db.sql(LENGTHS).fetchall():
+                n[i] += size
+                tokens[i] += count
+            self.db.unregister("ids")
         if not np.array_equal(tokens, lengths):
             raise ValueError(f"{(lengths - tokens).sum()} ids have no token")
-        data, ends = latin.encode("latin-1"), [0, *np.cumsum(n).tolist()]
+        data, ends = b"".join(data), [0, *np.cumsum(n).tolist()]
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
