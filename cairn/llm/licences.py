@@ -12,6 +12,7 @@ null; ties go to the first template by name. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,7 @@ def bigrams(text: str) -> list[str]:
 
 def bounds(n: int, threshold: float) -> tuple[int, int]:
     """The least and the most bigrams of a segment that can reach the threshold with a template of n."""
-    return -int(-n * threshold // (2 - threshold)), int(n * (2 - threshold) / threshold + 1e-9)
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9), int(n * (2 - threshold) / threshold + 1e-9)
 
 
 def _best(segment: Column, templates: dict[str, list[str]], threshold: float) -> Column:

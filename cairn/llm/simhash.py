@@ -61,6 +61,8 @@ def planes(fingerprints: np.ndarray) -> np.ndarray:
 
 def links(queries: np.ndarray, stored: np.ndarray, radius: int = RADIUS, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, stored) within the radius, as two arrays of indices."""
+    if not len(queries) or not len(stored):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sliced = planes(stored)
     words = sliced.shape[1]
     out: list[tuple[np.ndarray, np.ndarray]] = []
