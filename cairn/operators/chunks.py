@@ -21,6 +21,16 @@ HEADER_BYTES = 8
 SMALLEST, LARGEST = 1024, 16384
 
 
+#: Inputs below this many bytes, as Catalyst estimates, are dealt out before work that is heavy per byte.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores, as it may be one row group of one file and so one task. Large ones stay where they are read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df
+
+
 def oid(data: Column | str) -> Column:
     return F.sha2(F.col(data) if isinstance(data, str) else data, 256)
 
@@ -171,7 +181,7 @@ def content_chunks(docs: DataFrame, target: int = 1024, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, pa.int64()) for c in columns], pa.array([h.hex() for h in data_hash(parts)], pa.string())], names=[*keep, "pos", "offset", "size", "raw_hash"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # rows are whole blobs
-    return docs.where(F.col("text").isNotNull()).select(*keep, F.col("text").cast("binary").alias("data")).mapInArrow(run, schema)
+    return spread(docs.where(F.col("text").isNotNull()).select(*keep, F.col("text").cast("binary").alias("data"))).mapInArrow(run, schema)
 
 
 @query()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.chunks import oid
+from cairn.operators.chunks import oid, spread
 from cairn.registry import query, table
 
 
@@ -166,7 +166,7 @@ def parse_operations(lines: DataFrame, column: str = "line") -> DataFrame:
   UNION ALL SELECT 'deletedFile', lang || '/' || doc_id, NULL, NULL, NULL FROM documents
   UNION ALL SELECT 'other', NULL, NULL, NULL, 'unknown key' FROM labels)""")
 def q31_ndjson_commit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     name = F.col("doc_id").cast("string")
     op = lambda key, *fields: F.to_json(F.struct(F.lit(key).alias("key"), F.struct(*fields).alias("value"))).alias("line")
     files = docs.select(op("file", F.concat_ws("/", "source", name).alias("path"), F.concat(F.lit("base64:"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")).alias("content")))

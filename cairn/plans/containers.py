@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import cdc, compression, merkle
 from cairn.functions.blake3 import data_hash
+from cairn.operators.chunks import spread
 from cairn.registry import query, table
 from cairn.sources import containers
 
@@ -39,7 +40,7 @@ def convert(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: in
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows are whole blobs
     data = docs.select(docs[key], docs[text].cast("binary").alias("data")).where(F.octet_length("data") > 0)
     kind = docs.schema[key].dataType.simpleString()
-    return data.mapInArrow(run, f"`{key}` {kind}, oid string, file_hash string, pack_hash string, n_chunks bigint, raw_bytes bigint, pack binary, manifest binary")
+    return spread(data).mapInArrow(run, f"`{key}` {kind}, oid string, file_hash string, pack_hash string, n_chunks bigint, raw_bytes bigint, pack binary, manifest binary")
 
 
 def rebuild(packs: DataFrame, key: str = "doc_id") -> DataFrame:
