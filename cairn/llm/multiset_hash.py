@@ -19,16 +19,18 @@ from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import map_texts, small_batches, written
 
 LANES = 256
 STRONG = 4
 PIECE_WORDS = 4
 #: Rows dealt to one partition when each document must meet the next.
 ROWS_A_PART = 3000
+#: The most parts: their bounds are a constant of the plan. Beyond, parts grow; a part is sorted with spilling and streamed.
+MOST_PARTS = 20_000
 SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+")
 
 
@@ -97,8 +99,6 @@ def edited(text: str, following: str) -> str:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and fingerprint, for every row."""
-    from .common import map_texts
-
     return map_texts(docs, [key], text, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string", lambda ts: {"fingerprint": [Fingerprint.of(paragraphs(t)).hex() for t in ts]})
 
 
@@ -110,7 +110,7 @@ def _parted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     """
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     rows = own.count()
-    parts = max(1, -(-rows // ROWS_A_PART))
+    parts = min(MOST_PARTS, max(1, -(-rows // ROWS_A_PART)))
     bounds = sorted(set(own.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     if bounds:
         every = F.array(*[F.lit(int(b)) for b in bounds])
@@ -123,8 +123,6 @@ def _parted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
         part = F.lit(0)
     own = own.select(part.alias("part"), "key", "text")
     heads = own.groupBy("part").agg(F.max("key").alias("head"))
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.col("part").desc())
     last = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     to = heads.select("part", "head", F.lead("part").over(order).alias("before"), F.last("part").over(last).alias("end"))
