@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,3 +186,79 @@ def bg4_hex(data: Column) -> Column:
 FROM (SELECT p_partkey, lower(hex(encode(p_name))) AS h, octet_length(encode(p_name)) AS n FROM part)""")
 def q43_bg4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", bg4_hex(F.col("p_name").cast("binary")).alias("grouped"))
+
+
+def keyed_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hex, from two built-in hashes: only the padded key is made on the driver."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+SALT = b"a salt of the token table"
+
+
+def _token_hash_sql() -> str:
+    block = SALT.ljust(64, b"\0")
+    pad = lambda x: f"unhex('{bytes(b ^ x for b in block).hex()}')"
+    return f"SELECT c_custkey, sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode(c_name)))) AS token_hash FROM customer"
+
+
+@query(_token_hash_sql())
+def q53_token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", keyed_sha256(SALT, F.col("c_name")).alias("token_hash"))
+
+
+def proxy_token(url: Column) -> Column:
+    """The first token parameter whose decoded value is a proxy token; null if there is none."""
+    query_part = F.regexp_extract(url, r"\?([^#]*)", 1)
+    values = F.transform(F.filter(F.split(query_part, "&"), lambda p: p.startswith("token=")), lambda p: F.try_url_decode(F.substring(p, 7, 1 << 20)))
+    return F.get(F.filter(values, lambda v: v.startswith("proxy_")), F.lit(0))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'proxy_' || page_id || '/a' WHEN page_id % 3 = 1 THEN 'proxy_b' END AS token FROM pages""")
+def q54_proxy_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' addresses with parameters of three shapes: encoded, after another token, and none that counts."""
+    n = F.col("page_id").cast("string")
+    extra = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("token=proxy%5F"), n, F.lit("%2Fa&token=proxy_z"))).when(F.col("page_id") % 3 == 1, "token=user_a&x=1&token=proxy_b").otherwise("tokens=proxy_c")
+    base = F.regexp_replace("url", r"[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", proxy_token(F.concat(base, F.lit("?"), extra)).alias("token"))
+
+
+def iso_time(seconds: Column) -> Column:
+    """Unix seconds as ISO 8601 in UTC, whatever the session's zone; what no date can show is the epoch."""
+    fit = F.when(seconds.between(-62135596800, 253402300799), seconds).otherwise(0)
+    return F.date_format(F.timestamp_add("SECOND", fit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+@query("SELECT o_orderkey, strftime(make_timestamp((CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey * 86399 END) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created FROM orders")
+def q55_iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.when(F.col("o_orderkey") % 10 == 0, F.lit(10**15)).otherwise(F.col("o_orderkey") * 86399)
+    return table(spark, sf_dir, "orders").select("o_orderkey", iso_time(given).alias("created"))
+
+
+STATUS = {"not_found": 404, "conflict": 409, "parent_required": 409, "unknown_parent": 409, "unauthorized": 401, "forbidden": 403, "validation": 400, "too_large": 413, "bad_oid": 422, "exists": 409}
+
+
+def error_status(kind: Column) -> Column:
+    """The HTTP status of an error; what isn't listed is an internal error."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[kind], F.lit(500))
+
+
+@query("""SELECT event_id, kind, CASE kind WHEN 'not_found' THEN 404 WHEN 'conflict' THEN 409 WHEN 'forbidden' THEN 403 WHEN 'too_large' THEN 413 ELSE 500 END AS status
+FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'not_found' WHEN 'click' THEN 'conflict' WHEN 'purchase' THEN 'forbidden' WHEN 'signup' THEN 'too_large' ELSE 'disk' END AS kind FROM events)""")
+def q56_error_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'not_found' WHEN 'click' THEN 'conflict' WHEN 'purchase' THEN 'forbidden' WHEN 'signup' THEN 'too_large' ELSE 'disk' END")
+    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind")).select("event_id", "kind", error_status(F.col("kind")).alias("status"))
+
+
+def little_endian(data: Column, at: int, width: int) -> Column:
+    """The unsigned number of `width` bytes (7 at most) from byte `at` (0 is the first)."""
+    digits = F.concat(*[F.hex(F.substring(data, at + i + 1, 1)) for i in reversed(range(width))])
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+@query("SELECT p_partkey, ord(p_name[1]) + 256 * ord(p_name[2]) + 65536 * ord(p_name[3]) AS u24, (ord(p_name[2]) + 256 * ord(p_name[3]) + 65536 * ord(p_name[4]) + 16777216::BIGINT * ord(p_name[5]))::BIGINT AS u32, (ord(p_name[1]) % 4 = 0) AS cut FROM part")
+def q57_little_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.col("p_name").cast("binary")
+    return table(spark, sf_dir, "part").select("p_partkey", little_endian(data, 0, 3).alias("u24"), little_endian(data, 1, 4).alias("u32"), (little_endian(data, 0, 1) % 4 == 0).alias("cut"))
