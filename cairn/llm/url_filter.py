@@ -78,10 +78,10 @@ class Index:
 
 
 def token_counts(urls: DataFrame, url: str, tokens: list[str]) -> dict[str, int]:
-    """How many URLs hold each token of the rules, over the whole table; at most a count for each rule's token comes back."""
+    """How many URLs hold each token of the rules, over the whole table; what is broadcast and comes back is bounded by RULES_PER_PASS."""
     wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
     held = urls.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(`{url}`), '[a-z0-9]+', 0)"))).alias("token"))
-    return {r.token: r.n for r in held.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    return {r.token: r.n for r in held.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def judge(urls: DataFrame, key: str = "page_id", url: str = "url", rules: list[Rule] | None = None) -> DataFrame:
