@@ -2,7 +2,7 @@
 masked, sources are mixed to their weights, and the mix is encoded by byte-level BPE.
 
 Each stage takes what the one before kept, and works on all of it. No stage can be told in SQL as a whole (a trained
-classifier, 64-bit xxHash fingerprints, hashed random draws), so ORACLE_SQL is None and the tests compare with
+classifier, 64-bit xxHash shingles, hashed random draws), so ORACLE_SQL is None and the tests compare with
 brute-force versions.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, mixing, pii, simhash, toxicity
+from cairn.llm import bpe, mixing, near_copies, pii, toxicity
 from cairn.llm.common import table, written
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each SimHash component."""
-    return simhash.deduplicated(docs)
+    """The document of the least doc_id of each group that near copies link."""
+    return near_copies.deduplicated(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
