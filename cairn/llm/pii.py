@@ -32,10 +32,22 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_TAIL = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 
+#: Characters of an IBAN by country. Of other countries each length from 15 to 34 that ends a word is tried, the longest first.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 CONTEXT = {
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|konto|cuenta|compte|bic|swift)\b"),
     "short_card": re.compile(r"(?i)\b(?:card|visa|amex|credit|debit|karte|tarjeta|carte)\b"),
@@ -84,6 +96,24 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost and without overlap, each cut at its country's length; from where none is confirmed, the search goes on behind the head's first letter."""
+    out, at = [], 0
+    while head := IBAN_HEAD.search(text, at):
+        at = head.start() + 1
+        if not (tail := IBAN_TAIL.match(text, head.end())):
+            continue
+        stops = [i + 1 for i in range(head.start(), tail.end()) if text[i] != " "]  # where the IBAN of each length ends
+        n = IBAN_LENGTHS.get(head[0][:2])
+        for k in range(len(stops), 14, -1) if n is None else [n] if n <= len(stops) else []:
+            end = stops[k - 1]
+            if not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and mod97(text[head.start() : end].replace(" ", "")):
+                out.append((head.start(), end))
+                at = end
+                break
+    return out
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = dict.fromkeys(BASE_KINDS, [])
     if "@" in text:
@@ -105,7 +135,7 @@ def spans(text: str) -> list[Span]:
     """All spans, by kind as listed, then start. Base spans have score 1."""
     base = base_spans(text)
     out = [Span(k, a, b, 1.0) for k in BASE_KINDS for a, b in base[k]]
-    proposed = [("iban", m.span()) for m in IBAN.finditer(text) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)]
+    proposed = [("iban", x) for x in ibans(text)]
     proposed += [("short_card", m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 15 and luhn(d)]
     proposed += [("ssn", m.span()) for m in SSN.finditer(text)] + [("local_phone", m.span()) for m in LOCAL_PHONE.finditer(text)]
     more = []

@@ -107,6 +107,20 @@ def test_more_spans_need_checksums_and_context():
     assert pii.mask("mail a@b.co, ip 1.2.3.4!", pii.spans("mail a@b.co, ip 1.2.3.4!")) == "mail [email], ip [ip]!"
 
 
+def test_ibans_end_at_their_countrys_length():
+    found = lambda t: [t[x.start : x.end] for x in pii.spans(t) if x.kind == "iban"]
+    de, spaced, gb, no = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for after in ("", ",", " and so on", " BIC COBADEFF", " EUR 50", " 2024", " EUR", " A", " 1", "\nBIC X", "."):
+        for iban in (de, spaced, gb, no):
+            assert found(f"to {iban}{after}") == [iban], iban + after
+    assert found(f"{spaced} {gb} {no}") == [spaced, gb, no] and found(f"XX12 {de} {gb}") == [de, gb] and found(f"IT60 AB {de}") == [de]
+    assert found(f"{de}X") == [] == found(f"{de[:-1]}1 EUR 50") == found(f"x{de}") and found("AB" + "12 " * 9) == []
+    assert all(15 <= n <= 34 and len(k) == 2 for k, n in pii.IBAN_LENGTHS.items())
+    rest = "12345678901234"
+    check = next(c for c in (f"{k:02}" for k in range(2, 99)) if pii.mod97(f"ZZ{c}{rest}"))
+    assert found(f"ZZ{check} {rest} EUR") == [f"ZZ{check} {rest}"] or found(f"ZZ{check} {rest} EUR") == [f"ZZ{check} {rest} EUR"]
+
+
 def test_long_texts_take_linear_time():
     for t in ("a" * 10**6, "1" * 10**6, "1." * 300000, "@a" * 300000, "+1 " * 300000, "AB12" + " 1" * 300000):
         pii.spans(t)
