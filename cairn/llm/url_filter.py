@@ -63,6 +63,11 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
+def order(rule: Rule) -> tuple[bool, int]:
+    """Of several matching rules the least comes first."""
+    return not rule.host_rule, -len(rule.name) if rule.host_rule else int(rule.verdict != "block")
+
+
 class Index:
     def __init__(self, rules: Iterable[Rule], seen: dict[str, int]):
         self.by_token: dict[str | None, list[tuple[int, Rule, re.Pattern]]] = {}
@@ -74,7 +79,7 @@ class Index:
         lower, canonical = url.lower(), host + path
         tokens = {None, *TOKEN.findall(lower), *TOKEN.findall(canonical.lower())}
         found = [(i, r) for t in tokens for i, r, p in self.by_token.get(t, ()) if p.search(canonical if r.host_rule else lower)]
-        return sorted(found, key=lambda x: (not x[1].host_rule, -len(x[1].name) if x[1].host_rule else x[1].verdict != "block", x[0]))
+        return sorted(found, key=lambda x: (*order(x[1]), x[0]))
 
 
 def token_counts(urls: DataFrame, url: str, tokens: list[str]) -> dict[str, int]:
@@ -87,24 +92,35 @@ def token_counts(urls: DataFrame, url: str, tokens: list[str]) -> dict[str, int]
 def judge(urls: DataFrame, key: str = "page_id", url: str = "url", rules: list[Rule] | None = None) -> DataFrame:
     """key, host, path, rule (of the host rules, else null), verdict, and matched: the rule or pattern that gave it."""
     rules = [*HOST_RULES, *PATTERNS] if rules is None else rules
-    if len(rules) > RULES_PER_PASS:
-        raise ValueError("split the rules: judge() takes RULES_PER_PASS at a time, and the first verdict of several passes counts")
-    seen = token_counts(urls, url, sorted({t for r in rules for t in r.tokens}))
+    blocks = [rules[i : i + RULES_PER_PASS] for i in range(0, len(rules), RULES_PER_PASS)] or [[]]
     kind = urls.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(rules, seen)
-        for b in batches:
-            rows = []
-            for u in b.column(1).to_pylist():
-                host, path = host_and_path(u)
-                hits = index.matches(u or "", host, path)
-                first = hits[0][1] if hits else None
-                rows.append((host, path, first.name if first and first.host_rule else None, first.verdict if first else "allow", first.name if first else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in columns]], names=[key, "host", "path", "rule", "verdict", "matched"])
-
-    return urls.select(urls[key], urls[url]).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string, matched string")
+    best = "host string, path string, rule string, verdict string, matched string, pattern boolean, rank bigint"
+
+    def one_pass(block: list[Rule], seen: dict[str, int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(block, seen)
+            for b in batches:
+                rows = []
+                earlier = zip(*[c.to_pylist() for c in b.columns[2:]], strict=True) if b.num_columns > 2 else [None] * b.num_rows
+                for u, before in zip(b.column(1).to_pylist(), earlier, strict=True):
+                    host, path = host_and_path(u)
+                    hits = index.matches(u or "", host, path)
+                    first = hits[0][1] if hits else None
+                    if before and before[4] is not None and (not first or before[5:] <= order(first)):
+                        rows.append(before)  # of equals the earlier block's
+                    else:
+                        rows.append((host, path, first.name if first and first.host_rule else None, first.verdict if first else "allow", first.name if first else None, *(order(first) if first else (None, None))))
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = [pa.string()] * 5 + [pa.bool_(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns, kinds)], names=[key, "__url", "host", "path", "rule", "verdict", "matched", "pattern", "rank"])
+
+        return run
+
+    judged = urls.select(urls[key], urls[url].alias("__url"))
+    for block in blocks:
+        seen = token_counts(urls, url, sorted({t for r in block for t in r.tokens}))
+        judged = judged.mapInArrow(one_pass(block, seen), f"`{key}` {kind}, __url string, {best}")
+    return judged.select(key, "host", "path", "rule", "verdict", "matched")
 
 
 #: The same by running every rule on every URL.

@@ -157,6 +157,14 @@ def test_url_verdicts(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_rules_of_several_passes_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id bigint, url string")
+    rules = [*reversed(url_filter.PATTERNS), *url_filter.HOST_RULES, url_filter.Rule("again", "block", "com", ())]
+    want = sorted(map(str, url_filter.judge(df, rules=rules).collect()))
+    monkeypatch.setattr(url_filter, "RULES_PER_PASS", 4)
+    assert sorted(map(str, url_filter.judge(df, rules=rules).collect())) == want
+
+
 def test_index_runs_only_candidates_and_loses_none():
     rules = [*url_filter.HOST_RULES, *url_filter.PATTERNS, url_filter.Rule("any", "block", r"\d{7}", ())]
     index = url_filter.Index(rules, {"com": 50, "example": 10, "en": 90})
