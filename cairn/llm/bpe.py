@@ -6,16 +6,17 @@ contracts it; words without a pair leave the recursion. Decoding joins token row
 the pieces by an ordered aggregation.
 
 Null texts count as empty: no token, and the digests of nothing. Texts may be of any length: a partition handles a few
-MB at a time. Words over LONG_WORD bytes are first cut where no token of the vocabulary can reach across, and all
-occurrences of their least pair are contracted in one round where that provably equals one at a time. Rows may repeat
-and doc_id may be null; each row stands for itself. An empty table gives an empty result.
+MB at a time. Words over LONG_WORD bytes are first cut where no token of the vocabulary can reach across; a round
+contracts all their pairs for which that provably equals one at a time, and words of over QUERY_BYTES pass in slices, so
+a query's memory is bounded. Rows may repeat and doc_id may be null; each row stands for itself. Ties of rank go to the
+leftmost pair. An empty table gives an empty result. Only the columns asked for are read; one of the result's names is replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
@@ -24,19 +25,24 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import gathered, small_batches, texts
+from .common import gathered, small_batches, texts, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 64
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Words and chunks whose ids a worker remembers; when full, it starts again. Only speed depends on it.
-CACHE_ENTRIES = 600_000
-#: Words' bytes in one recursive query; keeps its rows, over all rounds, within DUCKDB_MEMORY.
-QUERY_BYTES = 400_000
+CACHE_ENTRIES = 500_000
+#: Words' bytes (tokens of a slice, in long ones) in one recursive query; keeps its rows, over all rounds, within DUCKDB_MEMORY. Nothing spills to a disk.
+QUERY_BYTES = 200_000
 DUCKDB_MEMORY = "256MB"
+#: Rounds of one query over long words, which then starts anew from what it made.
+LONG_ROUNDS = 6
 #: Ids in one decoding query.
 DECODE_TOKENS = 250_000
 
+#: Of the hashes of tokens and of parts of words.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
 ENCODE_SHORT = """
 WITH RECURSIVE tokens(round, word, pos, stop, token) AS (
   SELECT 0, word, pos, stop, token FROM start_rows
@@ -53,31 +59,28 @@ SELECT word, list(token ORDER BY pos) AS ids FROM tokens
 WHERE (word, round) IN (SELECT word, max(round) FROM tokens GROUP BY word) GROUP BY word ORDER BY word
 """
 
-#: As above, but a round contracts many occurrences of the least pair, just those for which one at a time gives the same:
-#: if its token makes no pair of a lesser rank with any token of the word, every other one of each overlapping run; else the leftmost, and
-#: those so far right of the one before ({reach}, over twice the longest token) that what it starts can't reach them.
+#: As above, but a round contracts all pairs whose turn nothing else can change, for at most {rounds} rounds. Merges before a pair's own
+#: turn form tokens with bytes of pairs that now precede it in (rank, position). No token is longer than a third of {reach}; so where all
+#: those lie {reach} away, neither what they form nor what the pair itself sets off can meet. Of a rank whose token makes no pair of a
+#: lesser rank (not astir), a run of overlapping pairs takes its turn as a whole: every other one. lo and hi end what a slice knows.
 ENCODE_LONG = """
 WITH RECURSIVE tokens(round, word, pos, stop, token) AS (
   SELECT 0, word, pos, stop, token FROM start_rows
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT a.word, a.pos, b.pos AS pos2, b.stop AS stop2, m.rank, min(m.rank) OVER (PARTITION BY a.word) AS least
-     FROM tokens a JOIN tokens b ON b.pos = a.stop JOIN merges m ON m.pair = (a.token::BIGINT << 32 | b.token)),
-   formed AS MATERIALIZED (SELECT DISTINCT word, least FROM pairs),
-   beside AS (SELECT DISTINCT word, token FROM tokens UNION SELECT word, least FROM formed),
-   astir AS MATERIALIZED (
-     SELECT f.word FROM formed f JOIN beside s ON s.word = f.word JOIN merges m ON m.pair = (s.token::BIGINT << 32 | f.least) WHERE m.rank < f.least
-     UNION SELECT f.word FROM formed f JOIN beside s ON s.word = f.word JOIN merges m ON m.pair = (f.least::BIGINT << 32 | s.token) WHERE m.rank < f.least),
-   least AS (SELECT *, CASE WHEN lag(pos2) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS opens,
-                    pos - lag(pos) OVER (PARTITION BY word ORDER BY pos) AS gap FROM pairs WHERE rank = least),
-   runs AS (SELECT *, sum(opens) OVER (PARTITION BY word ORDER BY pos) AS run FROM least),
-   spots AS (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS turn FROM runs),
-   taken AS MATERIALIZED (SELECT word, pos, pos2, stop2, rank FROM spots WHERE CASE WHEN word NOT IN (SELECT word FROM astir) THEN turn % 2 = 1 ELSE gap IS NULL OR gap > {reach} END)
+     SELECT a.word, a.pos, b.pos AS pos2, b.stop AS stop2, m.rank, a.pos - {reach} >= e.lo AND a.pos + {reach} <= e.hi AS inside,
+            min(m.rank::BIGINT << 36 | a.pos) OVER (PARTITION BY a.word ORDER BY a.pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS least,
+            coalesce(lag(b.pos) OVER w <> a.pos OR lag(m.rank) OVER w <> m.rank, true) AS opens
+     FROM tokens a JOIN tokens b ON b.pos = a.stop JOIN merges m ON m.pair = (a.token::BIGINT << 32 | b.token) JOIN edges e ON e.word = a.word
+     WHERE a.round < {rounds} WINDOW w AS (PARTITION BY a.word ORDER BY a.pos)),
+   runs AS (SELECT *, rank IN (SELECT token FROM astir) AS stirs, count_if(opens) OVER (PARTITION BY word ORDER BY pos) AS run FROM pairs),
+   spots AS (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS turn, bool_and(inside AND least >> 36 = rank) OVER (PARTITION BY word, run) AS steady FROM runs),
+   taken AS MATERIALIZED (SELECT word, pos, pos2, stop2, rank FROM spots WHERE CASE WHEN stirs THEN inside AND least = (rank::BIGINT << 36 | pos) ELSE steady AND turn % 2 = 1 END)
    SELECT round + 1, t.word, t.pos, coalesce(x.stop2, t.stop), coalesce(x.rank, t.token)
    FROM tokens t LEFT JOIN taken x ON x.pos = t.pos
    WHERE t.word IN (SELECT word FROM taken) AND t.pos NOT IN (SELECT pos2 FROM taken)))
-SELECT word, list(token ORDER BY pos) AS ids FROM tokens
-WHERE (word, round) IN (SELECT word, max(round) FROM tokens GROUP BY word) GROUP BY word ORDER BY word
+SELECT word, pos, stop, token FROM tokens
+WHERE (word, round) IN (SELECT word, max(round) FROM tokens GROUP BY word) ORDER BY word, pos
 """
 
 #: One ordered aggregation for many documents' ids; the documents' lengths cut it.
@@ -99,16 +102,30 @@ class Codec:
         self.parts_alike = pattern == public_tokenizers.PATTERN
         self.byte_token = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, rank = [], [], []
+        by_length: dict[int, list[tuple[bytes, int]]] = {}
         reach = np.zeros((256, 256), bool)
         for piece, r in ranks.items():
+            by_length.setdefault(len(piece), []).append((piece, r))
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 reach[piece[i - 1], piece[i]] = True
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         self.reach = reach
-        self.encode_long = ENCODE_LONG.format(reach=2 * max(map(len, ranks)) + 2)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+        self.n_tokens, self.grams = max(ranks.values()) + 1, []  # for each length the tokens' hashes, ascending, and ids
+        for n in range(1, max(by_length) + 1):
+            listed = by_length.get(n, [])
+            of = np.frombuffer(b"".join(x for x, _ in listed), np.uint8).reshape(-1, n).astype(np.uint64)
+            h = of[:, 0] * FACTOR
+            for k in range(1, n):
+                h = (h + of[:, k]) * FACTOR
+            order = np.argsort(h)
+            self.grams.append((h[order], np.array([r for _, r in listed], np.int64)[order]))
+        self.pairs = np.array([left, right, rank])
+        keys = (self.pairs[0] << 32) | self.pairs[1]
+        order = np.argsort(keys)
+        self.sorted_pairs, self.sorted_ranks = keys[order], self.pairs[2][order]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         merges = pa.table({"pair": pa.array((np.array(left, np.int64) << 32) | np.array(right, np.int64)), "rank": pa.array(rank, pa.int32())})
         vocabulary = pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "piece": [x.decode("latin-1") for x in ranks]})
         for name, data in (("merges", merges), ("vocabulary", vocabulary)):
@@ -118,44 +135,120 @@ class Codec:
         self.ranks = ranks
         self.known: dict[str, bytes] = {"": b""}  # ids of chunks and words; a word is a chunk of one word
 
-    def _query(self, sql: str, words: list[bytes]) -> list[np.ndarray]:
+    def _short(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, by one recursive query. Positions leave a gap between words, so pairs never cross."""
         data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = np.arange(len(data), dtype=np.int64) + word
         self.db.register("start_rows", pa.table({"word": word, "pos": pos, "stop": pos + 1, "token": self.byte_token[data]}))
-        ids = self.db.sql(sql).to_arrow_table().column("ids").combine_chunks()
+        ids = self.db.sql(ENCODE_SHORT).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("start_rows")
         flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
         return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _in_queries(self, sql: str, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, slices: list[tuple], reach: int, rounds: int = LONG_ROUNDS) -> list[tuple]:
+        """Some rounds over slices (pos, stop, token, lo, hi); the tokens left of each."""
+        shift = np.cumsum([0, *[s[1][-1] - s[0][0] + 1 for s in slices]])[:-1] - [s[0][0] for s in slices]
+        word = np.repeat(np.arange(len(slices), dtype=np.int32), [len(s[0]) for s in slices])
+        column = lambda k: np.concatenate([s[k] for s in slices])
+        self.db.register("start_rows", pa.table({"word": word, "pos": column(0) + shift[word], "stop": column(1) + shift[word], "token": column(2)}))
+        self.db.register("edges", pa.table({"word": np.arange(len(slices), dtype=np.int32), "lo": [s[3] + int(d) for s, d in zip(slices, shift, strict=True)], "hi": [s[4] + int(d) for s, d in zip(slices, shift, strict=True)]}))
+        found = self.db.sql(ENCODE_LONG.format(reach=reach, rounds=rounds)).to_arrow_table()
+        self.db.unregister("start_rows")
+        self.db.unregister("edges")
+        word, pos, stop, token = (c.to_numpy() for c in found.columns)
+        ends = np.searchsorted(word, np.arange(len(slices) + 1))
+        return [(pos[a:b] - d, stop[a:b] - d, token[a:b].astype(np.int32)) for a, b, d in zip(ends, ends[1:], shift, strict=False)]
+
+    def _present(self, raw: np.ndarray) -> tuple[np.ndarray, int]:
+        """Which tokens occur in the bytes, and the longest one's length. A collision of hashes may only add one."""
+        found, longest, h = np.zeros(self.n_tokens, bool), 1, np.zeros(len(raw) + 1, np.uint64)
+        for n, (hashes, ids) in enumerate(self.grams, 1):
+            if n > len(raw):
+                break
+            h = (h[:-1] + raw[n - 1 :]) * FACTOR
+            at = np.searchsorted(hashes, h)
+            hit = np.unique(at[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h)]) if len(hashes) else at[:0]
+            found[ids[hit]] = True
+            longest = n if len(hit) else longest
+        return found, longest
+
+    def _steady(self, token: np.ndarray, astir: np.ndarray) -> bool:
+        """Whether the last pair, which starts a run, is of the least rank of these tokens' pairs, and not astir."""
+        pair = (token[:-1].astype(np.int64) << 32) | token[1:]
+        at = np.minimum(np.searchsorted(self.sorted_pairs, pair), len(self.sorted_pairs) - 1)
+        rank = np.where(self.sorted_pairs[at] == pair, self.sorted_ranks[at], np.iinfo(np.int32).max)
+        return bool(rank[-1] < np.iinfo(np.int32).max and (rank >= rank[-1]).all() and rank[-1] not in astir)
+
+    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, QUERY_BYTES at most in all, or of one word of any length, which is sliced anew each time."""
+        raw = [np.frombuffer(w, np.uint8) for w in words]
+        within, longest = self._present(np.concatenate(raw))
+        reach = 3 * longest
+        left, right, rank = self.pairs[:, within[self.pairs[2]]]
+        astir = np.union1d(left[left > rank], right[right > rank])
+        self.db.register("astir", pa.table({"token": astir}))
+        state = [(np.arange(len(x), dtype=np.int64), np.arange(1, len(x) + 1, dtype=np.int64), self.byte_token[x]) for x in raw]
+        far, idle, turn = 1 << 35, 0, 0
+        while idle < 3:  # a run that two of three ways to slice cut too near its ends is whole in the third
+            size = sum(len(s[0]) for s in state)
+            if len(words) > 1 or len(state[0][0]) <= QUERY_BYTES:
+                state = self._contract([(*s, -far, far) for s in state], reach)
+                idle = 3 if sum(len(s[0]) for s in state) == size else 0
+                continue
+            pos, stop, token = state[0]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))  # of runs of one token
+            cuts, inside = [0], [True]
+            for at in range(QUERY_BYTES * (turn % 3 + 1) // 3, len(pos), QUERY_BYTES):
+                k = np.searchsorted(starts, at, "right")
+                first, last = int(starts[k - 1]), int(starts[k]) if k < len(starts) else len(pos)
+                at -= (at - first) % 2  # within a long run of one token both sides go on alike for a round, pair by pair
+                cuts.append(at)
+                inside.append(min(at - first, last - at) > reach and self._steady(token[max(0, first - reach - 1) : first + 2], astir))
+            cuts.append(len(pos)), inside.append(True)
+            made = []
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    lo, hi = -far if inside[i] else int(pos[a]), far if inside[i + 1] else int(stop[b - 1])
+                    in_run = inside[i] and a > 0 or inside[i + 1] and b < len(pos)
+                    made += self._contract([(pos[a:b], stop[a:b], token[a:b], lo, hi)], reach, 1 if in_run else LONG_ROUNDS)
+            state = [tuple(np.concatenate([m[k] for m in made]) for k in range(3))]
+            idle, turn = 0 if len(state[0][0]) < size else idle + 1, turn + 1
+        self.db.unregister("astir")
+        return [s[2].astype("<u4") for s in state]
+
+    @staticmethod
+    def _in_queries(query: Callable[[list[bytes]], list[np.ndarray]], words: list[bytes]) -> list[np.ndarray]:
         out, held, size = [], [], 0
         for w in words:
             if held and size + len(w) > QUERY_BYTES:
-                out += self._query(sql, held)
+                out += query(held)
                 held, size = [], 0
             held.append(w)
             size += len(w)
-        return out + (self._query(sql, held) if held else [])
+        return out + (query(held) if held else [])
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
         out = [b"" if (r := self.ranks.get(w)) is None else r.to_bytes(4, "little") for w in raw]  # a word that is a token stays whole
-        short = [i for i, w in enumerate(raw) if 0 < len(w) <= LONG_WORD and not out[i]]
-        for i, ids in zip(short, self._in_queries(ENCODE_SHORT, [raw[i] for i in short]), strict=True):
-            out[i] = ids.tobytes()
         pieces, owner = [], []
         for i, w in enumerate(raw):
-            if len(w) > LONG_WORD and not out[i]:
+            if out[i] or not w:
+                continue
+            cuts = [0, len(w)]
+            if len(w) > LONG_WORD:
                 x = np.frombuffer(w, np.uint8)
-                cuts = [0, *(np.flatnonzero(~self.reach[x[:-1], x[1:]]) + 1).tolist(), len(w)]
-                pieces += [w[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                owner += [i] * (len(cuts) - 1)
+                cuts[1:1] = (np.flatnonzero(~self.reach[x[:-1], x[1:]]) + 1).tolist()
+            pieces += [w[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            owner += [i] * (len(cuts) - 1)
+        ids: list[bytes] = [b""] * len(pieces)
+        for query, mine in ((self._short, [k for k, x in enumerate(pieces) if len(x) <= LONG_WORD]), (self._long, [k for k, x in enumerate(pieces) if len(x) > LONG_WORD])):
+            for k, found in zip(mine, self._in_queries(query, [pieces[k] for k in mine]), strict=True):
+                ids[k] = found.tobytes()
         parts: dict[int, list[bytes]] = {}
-        for i, ids in zip(owner, self._in_queries(self.encode_long, pieces), strict=True):
-            parts.setdefault(i, []).append(ids.tobytes())
+        for i, x in zip(owner, ids, strict=True):
+            parts.setdefault(i, []).append(x)
         for i, found in parts.items():
             out[i] = b"".join(found)
         return out
@@ -239,7 +332,7 @@ def _run(df: DataFrame, given: str, schema: str, kernel, path: str | None, patte
         for rows in gathered(batches, given, BATCH_BYTES):
             yield from kernel(codec(path, pattern), rows).to_batches()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def _lists(ids: list[bytes]) -> pa.Array:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space between words, by the contracts: space and U+0009 to U+000D. bytes.split() without arguments splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on this machine alone, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_scratch: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(sweep)
+    _scratch[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -44,11 +56,53 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more, through Hadoop's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _scratch.pop(path, None)
+
+
+def sweep() -> None:
+    """Deletes what scratch() named. Results are lazy and read these tables, so no DataFrame made before may be used after."""
+    for path, spark in list(_scratch.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            remove(spark, path)
+        _scratch.pop(path, None)
+
+
+def unlike(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until none is among names (in any case, as Spark compares them)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS_PER_BATCH rows: texts are long, and a Python worker holds one batch at a time.
+
+    Spark reads this setting when a query runs, so it stays in the session; it is only ever lowered, to one value.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on from task to task, and what the last one freed would else stay theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back at the task's end."""
 
+    def trimming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Arrow batches of few rows: texts are long, and a Python worker holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return trimming
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
@@ -84,4 +138,4 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, kernel: Ca
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(made[n]) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    return df.select(*[df[c] for c in keep], df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].alias("__text")).mapInArrow(trimmed(run), schema)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts, small_batches
+from .common import map_texts, small_batches, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "short_card", "ssn", "local_phone")
@@ -211,4 +211,4 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
                 columns[i] = pa.array([None if t is None else len(t) for t in masked], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

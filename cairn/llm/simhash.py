@@ -14,7 +14,7 @@ table gives an empty result; only the columns asked for are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remove, written
+from .common import map_texts, remove, trimmed, unlike, written
 
 RADIUS = 2
 WIDTH = 3
@@ -44,26 +44,34 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     ends = np.cumsum(np.array([len(w) + 1 for w in words]))
     starts = (ends - np.array([len(w) + 1 for w in words])).tolist()
     stops = (ends - 1).tolist()[width - 1 :]
-    digest, set_bits, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(stops)
-    for lo in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + (1 << 16)], stops[lo : lo + (1 << 16)], strict=False)], "<u8")
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    step = 1 << 16
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + step], stops[lo : lo + step], strict=False)], "<u8") for lo in range(0, len(stops), step))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half of all the blocks' hashes."""
+    set_bits, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        set_bits += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits((2 * set_bits > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def planes(fingerprints: np.ndarray) -> np.ndarray:
-    """64 rows; bit i % 64 of word i // 64 in row b is bit b of fingerprint i."""
+    """A row for each bit of a fingerprint (of one 64-bit word, or a row of several); bit i % 64 of word i // 64 in row b is bit b of fingerprint i."""
+    own = np.ascontiguousarray(fingerprints.astype("<u8")).view(np.uint8).reshape(len(fingerprints), -1)
     words = -(-len(fingerprints) // 64)
-    bits = np.zeros((words * 64, 64), np.uint8)
-    bits[: len(fingerprints)] = np.unpackbits(fingerprints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.zeros((words * 64, own.shape[1] * 8), np.uint8)
+    bits[: len(fingerprints)] = np.unpackbits(own, axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def links(queries: np.ndarray, stored: np.ndarray, radius: int = RADIUS, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, stored) within the radius, as two arrays of indices."""
+    """Pairs (query, stored) within the radius, as two arrays of indices, by ascending query."""
     if not len(queries) or not len(stored):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sliced = planes(stored)
+    queries, sliced = queries.reshape(len(queries), -1), planes(stored)
     words = sliced.shape[1]
     out: list[tuple[np.ndarray, np.ndarray]] = []
     counters = max(1, radius.bit_length())
@@ -76,8 +84,8 @@ def links(queries: np.ndarray, stored: np.ndarray, radius: int = RADIUS, step: i
         row, word = np.repeat(np.arange(len(q)), words), np.tile(np.arange(words), len(q))
         count = [np.full(len(row), FULL if first >> k & 1 else 0, np.uint64) for k in range(counters)]
         over = empty[word]
-        for b in range(64):
-            carry = sliced[b][word] ^ (np.uint64(0) - (q[row] >> np.uint64(b) & np.uint64(1)))
+        for b in range(len(sliced)):
+            carry = sliced[b][word] ^ (np.uint64(0) - (q[row, b // 64] >> np.uint64(b % 64) & np.uint64(1)))
             for k in range(counters):
                 count[k], carry = count[k] ^ carry, count[k] & carry
             over |= carry
@@ -139,8 +147,12 @@ def candidate_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         fp, own = group.column("fp").to_numpy().view(np.uint64), group.column("own").to_numpy()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = links(fp[left], fp[right], radius)
-        tree = forest(len(fp), left[a], right[b])
+        tree: list[tuple[int, int]] = []
+        for lo in range(0, len(left), 256):  # a hot key's pairs are folded into the forest as they come
+            a, b = links(fp[left[lo : lo + 256]], fp[right], radius)
+            a, b = left[lo + a], right[b]
+            new = a != b if i != j else a < b
+            tree = forest(len(fp), np.array([x for x, _ in tree] + a[new].tolist(), np.int64), np.array([y for _, y in tree] + b[new].tolist(), np.int64))
         s = fp.view(np.int64)
         pairs = np.array([(max(s[x], s[y]), min(s[x], s[y])) for x, y in tree], np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -167,7 +179,7 @@ def candidate_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").dropDuplicates()
+    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint").dropDuplicates()
 
 
 def components(links_: DataFrame) -> DataFrame:
@@ -216,12 +228,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least key, null being last; rows of equal keys are told apart by their text."""
-    own = docs.withColumn("__h", F.xxhash64(docs[text]))
+    """docs with one row of each component: that of the least key, null being last; rows of equal keys are told apart by their text. No column of docs is touched, whatever its name."""
+    h, kept_key, same = unlike(docs.columns, "h", "kept_key", "same")
+    own = docs.withColumn(h, F.xxhash64(docs[text]))
     kind = docs.schema[key].dataType.simpleString()
-    keyed = own.select(own[key].alias("key"), "__h", own[text].alias("text"))
-    printed, _ = written(map_texts(keyed, ["key", "__h"], "text", f"key {kind}, __h bigint, fp bigint", lambda ts: {"fp": np.array([fingerprint(t) for t in ts], np.uint64).view(np.int64)}), "fingerprints")
+    keyed = own.select(own[key].alias("key"), own[h].alias("h"), own[text].alias("text"))
+    printed, _ = written(map_texts(keyed, ["key", "h"], "text", f"key {kind}, h bigint, fp bigint", lambda ts: {"fp": np.array([fingerprint(t) for t in ts], np.uint64).view(np.int64)}), "fingerprints")
     found = printed.join(_named(printed, radius).select("fp", "label"), "fp")
-    stays = found.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__h")).alias("m")).select(F.col("m.key").alias("__key"), F.col("m.__h").alias("__same"))
-    kept = own.join(stays, own[key].eqNullSafe(stays["__key"]) & (own["__h"] == stays["__same"]), "left_semi")
-    return kept.dropDuplicates([key, "__h"]).select(*docs.columns)
+    stays = found.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("m")).select(F.col("m.key").alias(kept_key), F.col("m.h").alias(same))
+    kept = own.join(stays, own[key].eqNullSafe(stays[kept_key]) & (own[h] == stays[same]), "left_semi")
+    return kept.dropDuplicates([key, h]).select(*docs.columns)

@@ -129,7 +129,7 @@ def with_references(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives into folder; returns their paths and numbers of records, as a written table."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
