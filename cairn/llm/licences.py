@@ -1,24 +1,32 @@
-"""Licence scans: normalised segments of a text compared to licence templates by Dice over word bigrams.
-
-Segments are the lines of a text and, if it has several, the text as a whole. Normalised: lower case, each run of other
-than letters and digits one space. Dice is twice the number of distinct bigrams in common over the sum of both numbers
-of bigrams (repeats included), so a template can reach THRESHOLD only where the segment's number lies between
-t / (2 - t) and (2 - t) / t of its own: these bounds, from a count of spaces, prune templates before any bigram is made.
-
-DataFrame functions only, and no shuffle: each row is scanned where it lies. A null or empty text has no match. Texts
-may be of any length: only segments within some template's bounds are split into words. Rows may repeat and keys may be
-null; ties go to the first template by name. An empty table gives an empty result; no other columns are read.
+"""Licence scans: a normalised text's windows of words compared to licence templates by Dice over word bigrams.
+
+Normalised: lower case, each run of other than letters and digits one space; so lines, comment marks and punctuation
+don't matter, and templates pass the same expression. For a template of m bigrams the segments are all windows of
+min(L, n) consecutive bigrams of the text's n, for each L of SIZES times m. Dice is twice the multiset intersection of
+both over the sum of their sizes: 1 for a template against itself.
+
+Size bounds prune first: a text of under m * t / (2 - t) bigrams cannot reach the threshold t, nor can one with fewer
+bigrams of the template than the smallest window needs in common. What is left is swept: an occurrence of a bigram
+counts for the window starts between which it lies in the window and is among the last c of its kind there (c being
+how often the template has it), so counts of all windows of a text are one running sum over starts, linear in its hits.
+
+DataFrame functions only. Each text is exploded where it lies and counted before the shuffle; only texts that pass the
+bounds are swept. A null or empty text has no match. Texts may be of any length. Rows may repeat (the same key and
+text get the same answer) and keys may be null; ties go to the larger template, then to the first by name. An empty
+table gives an empty result; no other columns are read.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Windows' sizes, as multiples of a template's.
+SIZES = (0.8, 1.0, 1.25)
 
 # Wording of public licences and their customary notices.
 TEMPLATES = {
@@ -31,65 +39,91 @@ TEMPLATES = {
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
+TEMPLATES["MIT-text"] = TEMPLATES["MIT-permission"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+TEMPLATES["BSD-3-text"] = TEMPLATES["BSD-redistribution"] + " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
 
-def bigrams(text: str) -> list[str]:
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
-    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+def normal(text: Column) -> Column:
+    """Words in lower case, one space between them; texts and templates alike."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def bounds(n: int, threshold: float) -> tuple[int, int]:
-    """The least and the most bigrams of a segment that can reach the threshold with a template of n."""
-    return math.ceil(n * threshold / (2 - threshold) - 1e-9), int(n * (2 - threshold) / threshold + 1e-9)
+def needed(m: int, threshold: float) -> tuple[int, int]:
+    """The least bigrams of a text, and the least bigrams in common, with which a template of m can reach the threshold."""
+    least = math.ceil(m * threshold / (2 - threshold) - 1e-9)
+    window = min([least, *[max(1, round(m * x)) for x in SIZES]])
+    return least, math.ceil(threshold * (m + window) / 2 - 1e-9)
 
 
-def _best(segment: Column, templates: dict[str, list[str]], threshold: float) -> Column:
-    """The best (dice, name) of a normalised segment; dice 0 where no template is within bounds."""
-    words = F.split(segment, " ")
-    n = F.size(words) - 1
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+def _templates(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """name, m, least, common, bigram and c, how often the template has it; as many rows as templates have bigrams."""
+    given = docs.sparkSession.createDataFrame(sorted(templates.items()), "name string, text string")
+    rows = []
+    for name, text in given.select("name", normal(F.col("text"))).collect():
+        words = text.split(" ")
+        own = Counter(zip(words, words[1:], strict=False))
+        m = len(words) - 1
+        rows += [(name, m, *needed(m, threshold), f"{a} {b}", c) for (a, b), c in own.items()] if m else []
+    return docs.sparkSession.createDataFrame(rows, "name string, m int, least int, common int, bigram string, c int")
 
-    def scored(own: Column) -> Column:
-        found = []
-        for rank, (name, listed) in enumerate(sorted(templates.items())):
-            low, high = bounds(len(listed), threshold)
-            common = F.size(F.array_intersect(own, F.array(*map(F.lit, listed))))
-            dice = F.when(F.size(own).between(low, high), 2.0 * common / (F.size(own) + len(listed))).otherwise(0.0)
-            found.append(F.struct(dice.alias("dice"), F.lit(-rank).alias("rank"), F.lit(name).alias("name")))
-        return F.array_max(F.array(*found))
 
-    return F.element_at(F.transform(F.array(pairs), scored), 1)  # a lambda, so that the bigrams are made once
+def _pairs(texts: DataFrame) -> DataFrame:
+    """texts (key, h, normal) as a row for each bigram, with pos and n, the text's number of bigrams."""
+    words = texts.select("key", "h", F.split("normal", " ").alias("w"))
+    both = words.select("key", "h", (F.size("w") - 1).alias("n"), F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("pos", "x"))
+    return both.where("pos < n").select("key", "h", "n", "pos", F.concat("x.a", F.lit(" "), "x.b").alias("bigram"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """key, licence (of the best segment, else null), dice (rounded to 6 places, else null) and n_segments, those that reach the threshold."""
-    listed = {k: bigrams(v) for k, v in (templates or TEMPLATES).items()}
-    limits = [bounds(len(v), threshold) for v in listed.values()]
-    possible = lambda n: F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(set(limits))]), lambda x: (n >= x["a"]) & (n <= x["b"]))
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" ")))
-
-    plain = F.regexp_replace(F.lower(F.coalesce(docs[text], F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    whole = lambda ls: F.when((F.size(ls) > 1) & possible(F.aggregate(ls, F.lit(-1), lambda n, s: n + spaces(s) + 1)), F.array(F.array_join(ls, " "))).otherwise(F.array().cast("array<string>"))
-    segments = F.element_at(F.transform(F.array(lines), lambda ls: F.concat(F.filter(ls, lambda s: possible(spaces(s))), whole(ls))), 1)
-    hits = F.filter(F.transform(segments, lambda s: _best(s, listed, threshold)), lambda x: x["dice"] >= threshold)
-    found = docs.select(docs[key].alias(key), hits.alias("hits"))
-    best = F.array_max("hits")
-    return found.select(key, best["name"].alias("licence"), F.round(best["dice"], 6).alias("dice"), F.size("hits").cast("bigint").alias("n_segments"))
+    """key, licence (the template of the best window, else null), dice (rounded to 6 places, else null), first_word (where its first such window starts, from 0, else null) and n_templates, those that reach the threshold; for every row."""
+    listed = _templates(docs, templates or TEMPLATES, threshold)  # some hundred rows a template, which the caller gives
+    own = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
+    hits = _pairs(own.select("key", "h", normal(F.col("text")).alias("normal"))).join(F.broadcast(listed), "bigram").where("n >= least")
+    able = hits.groupBy("key", "h", "name").agg(F.count("*").alias("hits"), F.first("common").alias("common")).where("hits >= common").select("key", "h", "name")
+
+    few = able.select(F.col("key").alias("k"), F.col("h").alias("g")).distinct()
+    texts = own.join(few, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("g")), "left_semi").dropDuplicates(["key", "h"])
+    again = _pairs(texts.select("key", "h", normal(F.col("text")).alias("normal"))).join(F.broadcast(listed), "bigram").where("n >= least")
+    sizes = F.array_distinct(F.array(*[F.least(F.col("n"), F.greatest(F.lit(1), F.round(F.col("m") * x).cast("int"))) for x in SIZES]))
+    following = F.when(F.col("c") == 1, F.lead("pos", 1).over(_order()))
+    for c in sorted({r.c for r in listed.select("c").distinct().collect()} - {1}):
+        following = following.when(F.col("c") == c, F.lead("pos", c).over(_order()))
+    spans = again.withColumn("following", following).withColumn("size", F.explode(sizes))
+    first = F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1)
+    last = F.least(F.col("pos"), F.col("n") - F.col("size"), F.coalesce(F.col("following") - F.col("size"), F.col("pos")))
+    steps = spans.select("key", "h", "name", "m", "size", F.explode(F.array(F.struct(first.alias("s"), F.when(last >= first, 1).otherwise(0).alias("d")), F.struct((last + 1).alias("s"), F.when(last >= first, -1).otherwise(0).alias("d")))).alias("e"))
+    held = F.sum("e.d").over(Window.partitionBy("key", "h", "name", "size").orderBy("e.s").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = steps.select("key", "h", "name", "m", F.col("e.s").alias("s"), (2.0 * held / (F.col("m") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
+    best = swept.groupBy("key", "h", "name", "m").agg(F.max(F.struct("dice", (-F.col("s")).alias("s"))).alias("b"))
+    of = best.groupBy("key", "h").agg(F.min(F.struct((-F.col("b.dice")).alias("dice"), (-F.col("m")).alias("m"), "name", (-F.col("b.s")).alias("s"))).alias("b"), F.count("*").alias("n_templates"))
+    found = of.select(F.col("key").alias("k"), F.col("h").alias("g"), F.col("b.name").alias("licence"), F.round(-F.col("b.dice"), 6).alias("dice"), F.col("b.s").cast("bigint").alias("first_word"), "n_templates")
+    every = own.select("key", "h").join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("g")), "left")
+    return every.select(F.col("key").alias(key), "licence", "dice", "first_word", F.coalesce("n_templates", F.lit(0)).alias("n_templates"))
+
+
+def _order() -> Window:
+    return Window.partitionBy("key", "h", "name", "bigram").orderBy("pos")
 
 
 def sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB, every template against every segment."""
+    """The same in DuckDB by brute force: every window of every size that a bigram of a template lies in, its bigrams counted one by one."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(k)}, [{', '.join(map(quote, bigrams(v)))}])" for k, v in (templates or TEMPLATES).items())
+    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in (templates or TEMPLATES).items())
+    normal_sql = lambda c: rf"trim(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return rf"""
-WITH t(name, own) AS (VALUES {rows}),
-plain AS (SELECT row_number() OVER () AS id, doc_id, list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM documents),
-segments AS (SELECT id, unnest(lines || CASE WHEN len(lines) > 1 THEN [array_to_string(lines, ' ')] ELSE [] END) AS s FROM plain),
-pairs AS (SELECT id, row_number() OVER () AS segment, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS own FROM (SELECT id, string_split(s, ' ') AS w FROM segments) WHERE len(w) BETWEEN 2 AND 400),
-scored AS (SELECT p.id, segment, name, 2.0::DOUBLE * len(list_intersect(p.own, t.own)) / (len(p.own) + len(t.own)) AS dice FROM pairs p, t),
-best AS (SELECT id, segment, arg_max(name, dice) AS name, max(dice) AS dice FROM (SELECT * FROM scored WHERE dice >= {threshold} ORDER BY name) GROUP BY id, segment),
-of AS (SELECT id, arg_max(name, dice) AS name, max(dice) AS dice, count(*) AS n FROM (SELECT * FROM best ORDER BY name) GROUP BY id)
-SELECT doc_id, name AS licence, round(dice, 6) AS dice, coalesce(n, 0) AS n_segments FROM plain LEFT JOIN of USING (id)
+WITH given(name, text) AS (VALUES {rows}),
+tw AS (SELECT name, string_split({normal_sql("text")}, ' ') AS w FROM given),
+t AS (SELECT name, m, bigram, count(*) AS c FROM (SELECT name, len(w) - 1 AS m, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM tw) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS id, doc_id, string_split({normal_sql("text")}, ' ') AS w FROM documents),
+p AS (SELECT id, len(w) - 1 AS n, unnest(range(1, len(w))) AS i, w FROM d WHERE len(w) > 1),
+g AS (SELECT id, n, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS bigram FROM p),
+x AS (SELECT g.id, g.n, g.pos, g.bigram, t.name, t.m, t.c, least(g.n, l) AS size FROM g JOIN t USING (bigram), LATERAL (SELECT DISTINCT least(g.n, greatest(1, round(t.m * z)::INT)) AS l FROM (VALUES {", ".join(f"({z})" for z in SIZES)}) v(z)) q),
+k AS (SELECT id, name, m, size, bigram, c, unnest(range(greatest(0, pos - size + 1), least(pos, n - size) + 1)) AS s FROM x),
+f AS (SELECT id, name, m, size, s, sum(u) AS common FROM (SELECT id, name, m, size, s, bigram, least(count(*), any_value(c)) AS u FROM k GROUP BY id, name, m, size, s, bigram) GROUP BY ALL),
+r AS (SELECT id, name, m, s, 2.0::DOUBLE * common / (m + size) AS dice FROM f WHERE 2.0::DOUBLE * common / (m + size) >= {threshold}),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dice DESC, m DESC, name, s) AS turn FROM r),
+o AS (SELECT id, max(name) FILTER (turn = 1) AS name, max(dice) AS dice, max(s) FILTER (turn = 1) AS s, count(DISTINCT name) AS n FROM b GROUP BY id)
+SELECT doc_id, name AS licence, round(dice, 6) AS dice, s AS first_word, coalesce(n, 0) AS n_templates FROM d LEFT JOIN o USING (id)
 """
