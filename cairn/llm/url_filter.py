@@ -1,7 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token, so that a URL runs only rules it may match.
 
-A rule's pattern applies to host + path (canonical) or to the whole URL. Each rule names literal tokens (runs of a-z and
-0-9, compared in lower case) of which every match contains all, as whole tokens. The index files a rule under the one
+A rule's pattern applies to host + path (canonical) or to the whole URL. Each rule has literal tokens (runs of a-z and
+0-9, compared in lower case) of which every match contains all, as whole tokens; a pattern's are read off its parse tree. The index files a rule under the one
 of them that fewest URLs hold, counted over the whole table; a URL's tokens fetch candidates, and only those run.
 
 A null URL, or one without ://, has an empty host and path; host rules then fit nothing, and a URL that no rule matches
@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from re._constants import AT, AT_BEGINNING, AT_BEGINNING_STRING, AT_END, AT_END_STRING, BRANCH, IN, LITERAL, MAX_REPEAT, NEGATE, RANGE, SUBPATTERN
+from re._parser import parse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,13 +47,77 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 #: The rules of the query, by host and path.
 HOST_RULES = [host_rule("allow", "com", "/"), host_rule("block", "example.com", "/en/"), host_rule("allow", "www.example.com", "/en/"), host_rule("block", "net", "/es/"), host_rule("block", "net", "/fr/")]
 
-#: Patterns over the whole URL, in lower case, each with the tokens that its matches hold.
+#: What surely isn't part of a token.
+OUTSIDE = frozenset(range(128)) - frozenset(map(ord, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+
+
+def _ends(item: tuple, first: bool) -> bool:
+    """Whether what this part of a pattern matches surely starts (first) or ends with other than a-z and 0-9, or lies at the URL's end."""
+    op, of = item
+    if op is LITERAL:
+        return of in OUTSIDE
+    if op is IN:
+        return of[0][0] is not NEGATE and all(k is LITERAL and x in OUTSIDE or k is RANGE and OUTSIDE >= set(range(x[0], x[1] + 1)) for k, x in of)
+    if op is AT:
+        return of in (AT_BEGINNING, AT_BEGINNING_STRING) if not first else of in (AT_END, AT_END_STRING)  # $ also precedes a last newline, which is no part of a token
+    if op is SUBPATTERN:
+        return bool(of[3]) and _ends(of[3][0 if first else -1], first)
+    if op is BRANCH:
+        return all(bool(x) and _ends(x[0 if first else -1], first) for x in of[1])
+    return op is MAX_REPEAT and of[0] > 0 and bool(of[2]) and _ends(of[2][0 if first else -1], first)
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Whole tokens that every match of the pattern contains. What the parse tree leaves open gives none, so no match is ever lost."""
+    parts: list[tuple] = []
+
+    def flatten(items) -> None:
+        for op, of in items:
+            if op is SUBPATTERN and not (of[1] or of[2]):
+                flatten(of[3])
+            else:
+                parts.append((op, of))
+
+    tree = parse(pattern)
+    if tree.state.flags & re.IGNORECASE:
+        return ()  # some letters beyond ASCII would match too
+    flatten(tree)
+    found, run, begun, edge = [], "", False, False
+
+    def close(bounded: bool) -> None:
+        nonlocal run
+        if run and begun and bounded:
+            found.append(run)
+        run = ""
+
+    for i, (op, of) in enumerate(parts):
+        if op is LITERAL and of < 128 and of not in OUTSIDE:
+            if not run:
+                begun = edge
+            run, edge = run + chr(of), False
+        elif op is MAX_REPEAT and of[0] == 0:
+            after = next((x for x in parts[i + 1 :] if not (x[0] is MAX_REPEAT and x[1][0] == 0)), (AT, None))
+            skipped = [x for x in parts[i:] if x[0] is MAX_REPEAT and x[1][0] == 0]
+            close(_ends(after, True) and all(bool(x[1][2]) and _ends(x[1][2][0], True) for x in skipped))
+            edge = edge and bool(of[2]) and _ends(of[2][-1], False)
+        else:
+            close(_ends((op, of), True))
+            edge = _ends((op, of), False)
+    close(False)  # what follows a match may go on
+    return tuple(dict.fromkeys(found))
+
+
+def pattern_rule(name: str, verdict: str, pattern: str) -> Rule:
+    return Rule(name, verdict, pattern, literal_tokens(pattern))
+
+
+#: Patterns over the whole URL, in lower case.
 PATTERNS = [
-    Rule("spam-farm", "block", r"^[a-z]+://(?:[^/?#]*[.-])?spam-farm\.", ("spam", "farm")),
-    Rule("casino", "block", r"[./-]casino[./-]", ("casino",)),
-    Rule("free-pills", "block", r"[./-](?:free|cheap)-pills[./-]", ("pills",)),
-    Rule("tracker", "block", r"^[a-z]+://(?:[^/?#]*\.)?tracker\.[^/?#]+/pixel(?:[/?#]|$)", ("tracker", "pixel")),
-    Rule("xxx", "block", r"^[a-z]+://(?:[^/?#]*\.)?xxx(?:\.|/|$)", ("xxx",)),
+    pattern_rule("spam-farm", "block", r"^[a-z]+://(?:[^/?#]*[.-])?spam-farm\."),
+    pattern_rule("casino", "block", r"[./-]casino[./-]"),
+    pattern_rule("free-pills", "block", r"[./-](?:free|cheap)-pills[./-]"),
+    pattern_rule("tracker", "block", r"^[a-z]+://(?:[^/?#]*\.)?tracker\.[^/?#]+/pixel(?:[/?#]|$)"),
+    pattern_rule("xxx", "block", r"^[a-z]+://(?:[^/?#]*\.)?xxx(?:\.|/|$)"),
 ]
 
 
@@ -126,7 +192,7 @@ def judge(urls: DataFrame, key: str = "page_id", url: str = "url", rules: list[R
 #: The same by running every rule on every URL.
 SQL = r"""
 WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, lower(coalesce(url, '')) AS url, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(regexp_extract(rest, '^[^?#]*'), '/.*$', 0, 's') AS path FROM u),
+h AS (SELECT page_id, lower(coalesce(url, '')) AS url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(regexp_extract(rest, '^[^?#]*'), '/.*$', 0, 's') AS path FROM u),
 r AS (SELECT *, CASE
   WHEN regexp_matches(host, '(^|\.)www\.example\.com$') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN regexp_matches(host, '(^|\.)example\.com$') AND starts_with(path, '/en/') THEN 'example.com/en/'
