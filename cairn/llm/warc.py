@@ -1,6 +1,6 @@
 """WARC archives compressed with a dictionary of their own: written by tasks into the shared folder, then read back.
 
-An archive is a leading skippable frame that holds a Zstandard dictionary, built from the first records' bytes, and a
+An archive is a leading skippable frame that holds a Zstandard dictionary, built from parts of all its records, and a
 frame for each record, compressed alone with that dictionary, so that any record can be read by its offset. Records of
 equal payloads (SHA-256) of at least REVISIT_BYTES share one payload: that with the largest page_id is the response,
 the others revisit it.
@@ -30,12 +30,12 @@ from .common import scratch, small_batches, written
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
-#: Bytes of the first records from which the dictionary is built.
+#: About the bytes from which the dictionary is built: as many of each record, from places that move on.
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
-#: A skippable frame's magic number, and Zstandard's.
-SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
+#: A skippable frame's magic number.
+SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -53,28 +53,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def dictionary(samples: list[bytes]) -> bytes | None:
-    """A trained dictionary; none where there is too little to train on."""
-    if len(samples) < 8:
-        return None
+def dictionary(records: list[bytes]) -> bytes:
+    """A trained dictionary; where there is too little to train on, the samples themselves as raw content."""
+    share = max(256, SAMPLE_BYTES // len(records))
+    samples = []
+    for i, r in enumerate(records):
+        at = i * share % max(1, len(r) - share + 1)
+        samples.append(r[at : at + share])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return None
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def archive(records: list[bytes]) -> Iterator[bytes]:
-    """The archive's pieces: the dictionary's frame, if any, then each record's."""
-    samples, size = [], 0
-    for r in records:
-        if size >= SAMPLE_BYTES:
-            break
-        samples.append(r[: SAMPLE_BYTES // 8])
-        size += len(samples[-1])
-    trained = dictionary(samples)
-    if trained:
-        yield struct.pack("<II", SKIPPABLE, len(trained)) + trained
-    compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    """The archive's pieces: the dictionary's frame, then each record's."""
+    built = dictionary(records)
+    yield struct.pack("<II", SKIPPABLE, len(built)) + built
+    compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(built))
     for r in records:
         yield compressor.compress(r)
 
