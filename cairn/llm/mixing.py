@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, unlike, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -122,8 +122,11 @@ def report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def repeated(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: docs, each row as often as it is taken; the left-over copy of a source whole or not at all, whichever is nearer."""
-    chosen = mix(docs, key, source, text).select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("size").alias("__size"), (F.col("copies") + F.when(F.col("part") * 2 >= F.col("size"), F.signum("part")).otherwise(0)).cast("int").alias("__times"))
-    chosen = chosen.groupBy("__key", "__source", "__size").agg(F.max("__times").alias("__times")).where("__times > 0")
-    own = docs.withColumn("__own", F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("bigint"))
-    same = own[key].eqNullSafe(chosen["__key"]) & own[source].eqNullSafe(chosen["__source"]) & (own["__own"] == chosen["__size"])
-    return own.join(chosen, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[own[c] for c in docs.columns])
+    k, s, size, times, words, copy = unlike(docs.columns, "k", "s", "size_of", "times", "words", "copy")
+    found = mix(docs.select(docs[key].alias("key"), docs[source].alias("source"), docs[text].alias("text")), "key", "source", "text")
+    taken = F.col("copies") + F.when(F.col("part") * 2 >= F.col("size"), F.signum("part")).otherwise(0)
+    chosen = found.select(F.col("key").alias(k), F.col("source").alias(s), F.col("size").alias(size), taken.cast("int").alias(times))
+    chosen = chosen.groupBy(k, s, size).agg(F.max(times).alias(times)).where(F.col(times) > 0)
+    own = docs.withColumn(words, F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("bigint"))
+    same = own[key].eqNullSafe(chosen[k]) & own[source].eqNullSafe(chosen[s]) & (own[words] == chosen[size])
+    return own.join(chosen, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[own[c] for c in docs.columns])
