@@ -3,6 +3,7 @@ import io
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
@@ -120,21 +121,58 @@ def test_archive_layout():
 # --- licences and URLs
 
 
+def brute_licence(text, templates, threshold):
+    """Every window of every size, its bigrams counted anew."""
+    pairs = lambda t: list(zip(w := re.sub(r"[^\w]|_", " ", (t or "").lower()).split(), w[1:]))
+    own, hits = pairs(text), []
+    for name, template in templates.items():
+        want = Counter(pairs(template))
+        m = want.total()
+        for size in {min(len(own), max(1, round(m * x))) for x in licences.SIZES} - {0}:
+            for s in range(len(own) - size + 1):
+                dice = 2 * (Counter(own[s : s + size]) & want).total() / (m + size)
+                if dice >= threshold:
+                    hits.append((-dice, -m, name, s))
+    if not hits:
+        return None, None, None, 0
+    best = min(hits)
+    return best[2], round(-best[0], 6), best[3], len({h[2] for h in hits})
+
+
+def licence_rows():
+    t = licences.TEMPLATES
+    code = "\n".join(f"    x{i} = compute(the, value, of={i})" for i in range(40))
+    header = "\n".join(f" * {x}" for x in textwrap.wrap(t["Apache-2.0-header"], 60))
+    return [
+        (1, "Some words.\n  RELEASED under the MIT licence!\nMore words here."), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, t["MIT-permission"].replace(" ", "\n", 3)), (4, None), (5, ""),
+        (None, "Licensed under CC BY-NC 4.0."), (1, "nothing"), (6, "word " * 5000), (7, t["Apache-2.0-header"] + "\nlast line of it"), (8, f"{code}\n/*\n{header}\n */\n{code}"),
+        (9, "This line tells of many things. Released under the MIT License. And it goes on about others."), (10, t["MIT-text"].replace("free of charge", "at no charge")), (11, t["BSD-3-text"]), (11, t["BSD-3-text"]), (12, "of the " * 3000 + t["ISC-text"]),
+        (13, "under the MIT License " * 50), (14, "Released"), (15, "released under"), (16, "Straße — ÉTÉ\x00 released UNDER the mit license"),
+    ]
+
+
 def test_licences(spark):
-    rows = [(1, "Some words.\n  RELEASED under the MIT licence!\nMore words here."), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, licences.TEMPLATES["MIT-permission"].replace(" ", "\n", 3)), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (1, "nothing"), (6, "word " * 100_000), (7, licences.TEMPLATES["Apache-2.0-header"] + "\nlast line of it")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, licence string")
-    got = licences.scan(df).collect()
+    df = spark.createDataFrame([(*r, "x", 1) for r in licence_rows()], "doc_id bigint, text string, licence string, h int")
+    got = [tuple(r) for r in licences.scan(df).collect()]
+    want = [(k, *brute_licence(t, licences.TEMPLATES, 0.8)) for k, t in licence_rows()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
     con = duckdb.connect()
-    con.register("given", df.toArrow())
+    con.register("given", df.where("doc_id is null or doc_id <> 6").toArrow())
     con.execute("CREATE TABLE documents AS SELECT doc_id, text FROM given")
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(licences.sql()).fetchall()))
-    by = {r.doc_id: r for r in got if r.doc_id != 1}
-    assert by[2].licence == "MIT" and by[2].n_segments == 2 and by[3].licence == "MIT-permission" and by[7].licence == "Apache-2.0-header" and by[4].licence is None and by[6].n_segments == 0
-    assert by[None].dice == 1 and licences.scan(df.limit(0)).count() == 0
-    for n in range(1, 60):
-        low, high = licences.bounds(n, 0.8)
-        fits = [k for k in range(1, 200) if 2 * min(n, k) / (n + k) >= 0.8]
-        assert low <= min(fits) and high >= max(fits) and low >= min(fits) - 1 and high <= max(fits) + 1
+    assert sorted(map(str, con.sql(licences.sql()).fetchall())) == sorted(str(w) for w in want if w[0] != 6)
+    by = {r[0]: r[1:] for r in got if r[0] != 1}
+    assert by[8][0] == "Apache-2.0-header" and by[8][1] > 0.95 and by[9][:2] == ("MIT", 1.0) and by[10][0] == "MIT-text" and by[11][:2] == ("BSD-3-text", 1.0) and by[12][0] == "ISC-text"
+    assert licences.scan(df.limit(0)).count() == 0 and "PythonUDF" not in licences.scan(df)._jdf.queryExecution().toString()
+
+
+def test_a_template_is_itself_and_others_may_be_given(spark):
+    df = spark.createDataFrame(sorted(licences.TEMPLATES.items()), "doc_id string, text string")
+    assert all(r.licence == r.doc_id and r.dice == 1 for r in licences.scan(df).collect())
+    given = {"ru": "Это произведение доступно по свободной лицензии", "long": " ".join(f"w{i % 7}" for i in range(60))}
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["w1 w2", "w3 w4 w5", "w6 w0", "Это произведение доступно", "по свободной лицензии", "x"]) for _ in range(rng.randrange(60)))) for i in range(60)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=given, threshold=0.6).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((k, *brute_licence(t, given, 0.6))) for k, t in rows) and any(r.licence for r in got)
 
 
 URLS = [
@@ -165,6 +203,19 @@ def test_rules_of_several_passes_give_the_same(spark, monkeypatch):
     assert sorted(map(str, url_filter.judge(df, rules=rules).collect())) == want
 
 
+def test_tokens_are_read_off_the_pattern():
+    want = {"abc": (), "/abc/": ("abc",), "/ab*c/": (), "/a(b|c)d/": (), "x?/foo/": ("foo",), "foo$": (), "/foo$": ("foo",), "^foo/": ("foo",), "/foo(?:/bar)?/": ("foo",), "/foo(?:bar)?/": (), "/foo.bar/": (), "/foo[^x]/": (), "(?i)/foo/": (), "/é/a/": ("a",), "[./]a-b1[?#]": ("a", "b1"), "/x(?:/|$)": ("x",)}
+    assert {p: url_filter.literal_tokens(p) for p in want} == want
+    assert [r.tokens for r in url_filter.PATTERNS] == [("spam", "farm"), ("casino",), ("pills",), ("tracker", "pixel"), ("xxx",)]
+    rng = random.Random(6)
+    for _ in range(400):
+        pattern = "".join(rng.choice(["a", "b", "/", r"\.", "[./]", "(?:a|/)", "(?:/b)?", "a?", "b*", ".", "$", "[^a]"]) for _ in range(rng.randrange(1, 7)))
+        for _ in range(30):
+            url = "".join(rng.choice("ab/.") for _ in range(rng.randrange(9)))
+            if re.search(pattern, url):
+                assert set(url_filter.literal_tokens(pattern)) <= set(url_filter.TOKEN.findall(url)), (pattern, url)
+
+
 def test_index_runs_only_candidates_and_loses_none():
     rules = [*url_filter.HOST_RULES, *url_filter.PATTERNS, url_filter.Rule("any", "block", r"\d{7}", ())]
     index = url_filter.Index(rules, {"com": 50, "example": 10, "en": 90})
