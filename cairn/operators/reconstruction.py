@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.chunks import CHUNKS_SQL, HEADER_BYTES, fixed_chunks, oid, pack_offsets
+from cairn.operators.chunks import CHUNKS_SQL, FIXED_CHUNK, HEADER_BYTES, fixed_chunks, oid, pack_offsets
 from cairn.registry import query, table
 
+#: Segments of a file that are summed in one task before the blocks' sums meet.
+SEGMENTS_A_BLOCK = 4096
+
 
 def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """segments (file, seg_index, pack_hash, chunk_start, chunk_end, unpacked_bytes) and pack_chunks (pack_hash, chunk_index, byte_start, raw_len, raw_hash)."""
@@ -28,13 +31,59 @@ def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def plan(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """file, pos, and for each chunk in order pack_hash, chunk_index, byte_start, raw_len, raw_hash.
 
-    A segment's half-open range explodes into chunk numbers, which join the packs' chunks by equality.
+    A segment's half-open range explodes into chunk numbers, which join the packs' chunks by equality; an empty range
+    gives none. What is wrong with a file is found by plan_errors, which checked_plan asks first. Segments' first
+    positions are sums within blocks of numbers and over blocks, so that no task orders all segments of a file.
     """
-    wanted = segments.select("file", "seg_index", "pack_hash", F.explode(F.sequence("chunk_start", F.col("chunk_end") - 1)).alias("chunk_index"))
+    some = segments.where("chunk_end > chunk_start")
+    wanted = some.select("file", "seg_index", "pack_hash", F.explode(F.sequence("chunk_start", F.col("chunk_end") - 1)).alias("chunk_index"), "chunk_start")
     joined = wanted.join(chunks, ["pack_hash", "chunk_index"])
-    first = F.sum(F.col("chunk_end") - F.col("chunk_start")).over(Window.partitionBy("file").orderBy("seg_index").rowsBetween(Window.unboundedPreceding, -1))
-    starts = segments.select("file", "seg_index", F.coalesce(first, F.lit(0)).alias("first"))  # only segments meet in a window, not chunks
-    return joined.join(starts, ["file", "seg_index"]).select("file", (F.col("first") + F.col("chunk_index")).alias("pos"), "pack_hash", "chunk_index", "byte_start", "raw_len", "raw_hash")
+    n = some.select("file", "seg_index", (F.col("chunk_end") - F.col("chunk_start")).alias("n"), F.floor(F.col("seg_index") / SEGMENTS_A_BLOCK).alias("block"))
+    before = lambda *of: Window.partitionBy(*of[:-1]).orderBy(of[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = n.groupBy("file", "block").agg(F.sum("n").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before("file", "block")), F.lit(0)).alias("earlier"))
+    within = n.select("file", "block", "seg_index", F.coalesce(F.sum("n").over(before("file", "block", "seg_index")), F.lit(0)).alias("first"))
+    starts = within.join(blocks, ["file", "block"]).select("file", "seg_index", (F.col("first") + F.col("earlier")).alias("first"))
+    at = F.col("first") + F.col("chunk_index") - F.col("chunk_start")
+    return joined.join(starts, ["file", "seg_index"]).select("file", at.alias("pos"), "pack_hash", "chunk_index", "byte_start", "raw_len", "raw_hash")
+
+
+#: What may be wrong with a file's plan, in the order of the checks. The first two concern the manifest, and so every file of it.
+PLAN_ERRORS = ("duplicate pack", "duplicate lookup", "reversed range", "missing pack", "range beyond the pack", "missing chunk", "missing raw hash", "segment length")
+
+
+def plan_errors(files: DataFrame, segments: DataFrame, packs: DataFrame, chunks: DataFrame, lookup: DataFrame) -> DataFrame:
+    """file and error: the first that applies, by segment and then in the order of PLAN_ERRORS; null for a sound file, "file not found" for one asked for that has no entry.
+
+    files: file (asked for), n_segments (null if it has no entry); segments as in plan; packs: pack_hash, n_chunks;
+    chunks: pack_hash, chunk_index, raw_len; lookup: pack_hash, chunk_index, raw_hash. All of one manifest.
+    """
+    listed = packs.groupBy("pack_hash").agg(F.max("n_chunks").alias("n_chunks"), F.count("*").alias("n"))
+    known = lookup.groupBy("pack_hash", "chunk_index").agg(F.count("*").alias("n"), F.lit(1).alias("has_raw"))
+    twice = lambda df: df.agg(F.coalesce(F.max("n"), F.lit(0)) > 1).first()[0]  # noqa: E731  one boolean
+    whole = PLAN_ERRORS[0] if twice(listed) else PLAN_ERRORS[1] if twice(known) else None
+    if whole:
+        return files.select("file", F.lit(whole).alias("error"))
+    of = segments.join(listed, "pack_hash", "left")
+    early = (
+        F.when(F.col("chunk_end") < F.col("chunk_start"), 2).when(F.col("n_chunks").isNull(), 3).when(F.col("chunk_end") > F.col("n_chunks"), 4)
+    )
+    of = of.select("file", "seg_index", "pack_hash", "chunk_start", "chunk_end", "unpacked_bytes", early.alias("early"))
+    each = of.where("early IS NULL AND chunk_end > chunk_start").select("file", "seg_index", "pack_hash", F.explode(F.sequence("chunk_start", F.col("chunk_end") - 1)).alias("chunk_index"))
+    found = each.join(chunks.select("pack_hash", "chunk_index", "raw_len"), ["pack_hash", "chunk_index"], "left").join(known.drop("n"), ["pack_hash", "chunk_index"], "left")
+    fault = F.when(F.col("raw_len").isNull(), F.struct("chunk_index", F.lit(5).alias("code"))).when(F.col("has_raw").isNull(), F.struct("chunk_index", F.lit(6).alias("code")))
+    sums = found.groupBy("file", "seg_index").agg(F.sum("raw_len").alias("sum"), F.min(fault).alias("fault"))
+    late = F.when(F.col("fault").isNotNull(), F.col("fault.code")).when(F.coalesce("sum", F.lit(0)) != F.col("unpacked_bytes"), 7)
+    codes = of.join(sums, ["file", "seg_index"], "left").select("file", "seg_index", F.coalesce("early", late).alias("code")).where("code IS NOT NULL")
+    first = codes.groupBy("file").agg(F.min(F.struct("seg_index", "code")).alias("m")).select("file", F.element_at(F.array(*map(F.lit, PLAN_ERRORS)), F.col("m.code") + 1).alias("why"))
+    return files.join(first, "file", "left").select("file", F.when(F.col("n_segments").isNull(), "file not found").otherwise(F.col("why")).alias("error"))
+
+
+def checked_plan(files: DataFrame, segments: DataFrame, packs: DataFrame, chunks: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan of the sound files among those asked for, and plan_errors of the others."""
+    verdict = plan_errors(files, segments, packs, chunks, lookup)
+    sound = segments.join(verdict.where("error IS NULL").select("file"), "file", "left_semi")
+    raw = chunks.select("pack_hash", "chunk_index", "byte_start", "raw_len").join(lookup.select("pack_hash", "chunk_index", "raw_hash"), ["pack_hash", "chunk_index"])
+    return plan(sound, raw), verdict.where("error IS NOT NULL")
 
 
 PLAN_SQL = f"""WITH {CHUNKS_SQL},
@@ -50,6 +99,23 @@ def q12_reconstruction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(*model(spark, sf_dir))
 
 
+@query("""WITH d AS (SELECT doc_id, lang, octet_length(encode(text)) AS n, doc_id % 9 AS k FROM documents WHERE octet_length(encode(text)) > 0)
+SELECT doc_id AS file, CASE WHEN k = 0 THEN 'reversed range' WHEN k = 1 THEN 'missing pack' WHEN k = 2 THEN 'range beyond the pack' WHEN k = 3 THEN 'missing chunk' WHEN k = 4 THEN 'missing raw hash'
+WHEN k = 5 THEN 'segment length' WHEN k = 6 THEN 'file not found' END AS error FROM d""")
+def q58_plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of one segment and pack for each document, corrupted in a way that its number gives; two ninths are sound."""
+    docs = table(spark, sf_dir, "documents").where(F.octet_length(F.col("text").cast("binary")) > 0)
+    chunks = fixed_chunks(docs, keep=("doc_id",)).withColumn("k", F.col("doc_id") % 9).withColumnRenamed("pos", "chunk_index")
+    k = F.col("doc_id") % 9
+    n = F.octet_length(F.col("text").cast("binary")).cast("bigint")
+    count = F.floor((n + FIXED_CHUNK - 1) / FIXED_CHUNK)
+    all_segments = docs.select(F.col("doc_id").alias("file"), k.alias("k"), F.lit(0).alias("seg_index"), F.col("doc_id").alias("pack_hash"), F.when(k == 0, count + 1).otherwise(0).alias("chunk_start"), F.when(k == 2, count + 1).otherwise(count).alias("chunk_end"), F.when(k == 5, n + 1).otherwise(n).alias("unpacked_bytes"))
+    files = all_segments.select("file", F.when(F.col("k") != 6, 1).alias("n_segments"))
+    packs = docs.where(k != 1).select(F.col("doc_id").alias("pack_hash"), count.alias("n_chunks"))
+    keep = chunks.withColumnRenamed("doc_id", "pack_hash")
+    return plan_errors(files, all_segments.where("k <> 6").drop("k"), packs, keep.where("k <> 3 OR chunk_index > 0"), keep.where("k <> 4 OR chunk_index > 0"))
+
+
 @query(PLAN_SQL + "SELECT file, pack_hash, min(pos) AS first_pos, count(*) AS n_chunks, sum(raw_len)::BIGINT AS length FROM plan GROUP BY ALL")
 def q13_recon_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packs of each file in the order of their first chunk."""
@@ -95,6 +161,5 @@ def q47_reconstruct_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks put together in order, and the hash of what results."""
     docs = table(spark, sf_dir, "documents").withColumn("oid", oid(F.col("text").cast("binary")))
     parts = fixed_chunks(docs, keep=("doc_id", "oid"), with_bytes=True)
-    parts.createOrReplaceTempView("__parts")
-    whole = spark.sql("SELECT doc_id, oid, listagg(part) WITHIN GROUP (ORDER BY pos) AS data FROM __parts GROUP BY doc_id, oid")
+    whole = spark.sql("SELECT doc_id, oid, listagg(part) WITHIN GROUP (ORDER BY pos) AS data FROM {parts} GROUP BY doc_id, oid", parts=parts)
     return whole.select("doc_id", "oid", (F.sha2("data", 256) == F.col("oid")).alias("ok"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.chunks import oid, spread
 from cairn.registry import query, table
+from cairn.scratch import written
 
 
 def document_tree(docs: DataFrame) -> DataFrame:
@@ -84,23 +85,38 @@ def q26_resolve_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_LIMIT = 5
 
 
-def commit_log(spark: SparkSession, revisions: DataFrame, heads: DataFrame, limit: int) -> DataFrame:
-    """repo, depth, commit: from the head along the parents, at most `limit` (the head at least). revisions: repo, commit, parent; heads: repo, commit."""
-    revisions.createOrReplaceTempView("__revisions")
-    heads.createOrReplaceTempView("__heads")
-    return spark.sql(f"""
-        WITH RECURSIVE log(repo, depth, commit, parent) AS (
-          SELECT h.repo, 0, h.commit, r.parent FROM __heads h JOIN __revisions r ON r.repo = h.repo AND r.commit = h.commit
-          UNION ALL
-          SELECT l.repo, l.depth + 1, r.commit, r.parent FROM log l JOIN __revisions r ON r.repo = l.repo AND r.commit = l.parent WHERE l.depth + 1 < {max(limit, 1)})
-        SELECT repo, depth, commit FROM log""")
+def commit_log(revisions: DataFrame, heads: DataFrame, limit: int) -> DataFrame:
+    """repo, depth, commit, by repo and depth: from the head along the parents, at most `limit` (the head at least). revisions: repo, commit, parent; heads: repo, commit.
+
+    Jumps double: the commits at depths below 2^k and the table of 2^k-fold parents give those below 2^(k+1). So any
+    limit takes log2(limit) rounds of equal joins over written tables, and neither levels nor rows are bounded.
+    """
+    limit = max(limit, 1)
+    jumps = revisions.select("repo", "commit", F.col("parent").alias("to")).where("to IS NOT NULL")
+    log = heads.join(revisions.select("repo", "commit"), ["repo", "commit"]).select("repo", F.lit(0).cast("int").alias("depth"), "commit")
+    there = revisions.select("repo", F.col("commit").alias("to"))
+    reach = 1
+    jumps, _ = written(jumps.join(there, ["repo", "to"], "left_semi").select("repo", "commit", "to"), "jumps")
+    while reach < limit:
+        further = log.join(jumps, ["repo", "commit"]).where(F.col("depth") + reach < limit).select("repo", (F.col("depth") + reach).cast("int").alias("depth"), F.col("to").alias("commit"))
+        reach *= 2
+        if reach >= limit:
+            log = log.unionByName(further)
+            break
+        before = log.count()
+        log, _ = written(log.unionByName(further), "log")
+        if log.count() == before:
+            break  # every head's history has ended
+        onward = jumps.select("repo", F.col("commit").alias("to"), F.col("to").alias("next"))
+        jumps, _ = written(jumps.join(onward, ["repo", "to"]).select("repo", "commit", F.col("next").alias("to")), "jumps")
+    return log.orderBy("repo", "depth")
 
 
 @query(f"SELECT conv_id AS repo, (last - turn)::INT AS depth, turn AS commit FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE last - turn < {LOG_LIMIT}")
 def q27_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     revisions = turns.select(F.col("conv_id").alias("repo"), F.col("turn").alias("commit"), (F.col("turn") - 1).alias("parent"))
-    return commit_log(spark, revisions, revisions.groupBy("repo").agg(F.max("commit").alias("commit")), LOG_LIMIT)
+    return commit_log(revisions, revisions.groupBy("repo").agg(F.max("commit").alias("commit")), LOG_LIMIT)
 
 
 @query("SELECT conv_id, max(turn) AS head, arg_max(role, turn) AS author, count(*) AS commits FROM conversations GROUP BY conv_id")

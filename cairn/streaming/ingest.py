@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.registry import query, table
+from cairn.scratch import path
 
 BLOB = "oid string, size bigint"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both see it; machine-local only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stream-")
-    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
 def ingest(blobs: DataFrame, stored: str, checkpoint: str):
-    """Starts a stream that appends each batch's new oids to the table at `stored`, once each."""
+    """Starts a stream that appends each batch's new oids to the table at `stored`, once each.
+
+    The table lies in folders by the oid's first two digits, and a batch reads only those that it writes to.
+    """
     spark = blobs.sparkSession
+    spark.createDataFrame([], BLOB + ", part string").write.mode("append").partitionBy("part").parquet(stored)
 
     def put(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["oid"])
-        try:
-            existing = spark.read.schema(BLOB).parquet(stored)
-            fresh = fresh.join(existing.select("oid"), "oid", "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.select("oid", "size").write.mode("append").parquet(stored)
+        fresh = batch.dropDuplicates(["oid"]).withColumn("part", F.substring("oid", 1, 2)).persist()
+        parts = [r.part for r in fresh.select("part").distinct().collect()]  # 256 at most
+        existing = spark.read.schema(BLOB + ", part string").parquet(stored).where(F.col("part").isin(parts))
+        fresh.join(existing.select("oid"), "oid", "left_anti").select("oid", "size", "part").write.mode("append").partitionBy("part").parquet(stored)
+        fresh.unpersist()
 
     return blobs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -39,13 +32,13 @@ def ingest(blobs: DataFrame, stored: str, checkpoint: str):
 @query("SELECT DISTINCT sha256(text) AS oid, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL")
 def q50_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents streamed twice over give each blob once."""
-    folder = shared_folder(spark)
+    folder = path(spark, "ingest")
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     data = F.col("text").cast("binary")
     for name in ("a", "b"):
         docs.select(F.sha2(data, 256).alias("oid"), F.octet_length(data).cast("bigint").alias("size")).write.mode("append").parquet(f"{folder}/in")
     ingest(spark.readStream.schema(BLOB).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema(BLOB).parquet(f"{folder}/out")
+    return spark.read.schema(BLOB + ", part string").parquet(f"{folder}/out").select("oid", "size")
 
 
 def rates(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:

@@ -67,10 +67,20 @@ def test_prefix_has_a_boundary(spark):
 def test_log_and_limits(spark):
     revisions = spark.createDataFrame([(1, "c1", None), (1, "c2", "c1"), (1, "c3", "c2")], "repo int, commit string, parent string")
     heads = spark.createDataFrame([(1, "c3")], "repo int, commit string")
-    log = lambda n: [r.commit for r in repositories.commit_log(spark, revisions, heads, n).orderBy("depth").collect()]
+    log = lambda n: [r.commit for r in repositories.commit_log(revisions, heads, n).collect()]
     assert log(10) == ["c3", "c2", "c1"] and log(2) == ["c3", "c2"] and log(0) == ["c3"]
 
 
+def test_a_long_history(spark):
+    """5,000 commits, and beside them one that names a parent which isn't there."""
+    kind = "repo int, commit long, parent long"
+    revisions = spark.range(1, 5001).selectExpr("1 AS repo", "id AS commit", "nullif(id - 1, 0) AS parent").union(spark.createDataFrame([(2, 7, 6)], kind))
+    heads = spark.createDataFrame([(1, 5000), (2, 7), (3, 1)], "repo int, commit long")
+    got = repositories.commit_log(revisions, heads, 100_000).collect()
+    assert [tuple(r) for r in got] == [(1, d, 5000 - d) for d in range(5000)] + [(2, 0, 7)]
+    assert repositories.commit_log(revisions, heads, 150).count() == 151
+
+
 def test_snapshot_and_upserts(spark):
     kind = "path string, size bigint"
     parent = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], kind).withColumn("commit_id", F.lit("p"))
@@ -103,6 +113,45 @@ def test_plan_spans_packs(spark):
     assert body["g"] == '{"packs":[{"hash":"y","chunks":[{"hash":"r2","offset":11,"length":3}]}]}'
 
 
+SEGMENTS = "file string, seg_index bigint, pack_hash string, chunk_start bigint, chunk_end bigint, unpacked_bytes bigint"
+
+
+def test_every_corruption_of_a_manifest_is_named(spark):
+    sound = {
+        "segments": [("f", 0, "x", 0, 2, 5), ("f", 1, "y", 1, 2, 4), ("f", 2, "x", 1, 1, 0), ("g", 0, "y", 0, 2, 7)], "packs": [("x", 2), ("y", 2)],
+        "chunks": [("x", 0, 0, 3), ("x", 1, 11, 2), ("y", 0, 0, 3), ("y", 1, 11, 4)], "lookup": [("x", 0, "r0"), ("x", 1, "r1"), ("y", 0, "r2"), ("y", 1, "r3")],
+    }
+    kinds = {"segments": SEGMENTS, "packs": "pack_hash string, n_chunks bigint", "chunks": "pack_hash string, chunk_index bigint, byte_start bigint, raw_len bigint", "lookup": "pack_hash string, chunk_index bigint, raw_hash string"}
+    files = spark.createDataFrame([("f", 3), ("g", 1), ("h", None)], "file string, n_segments int")
+
+    def errors(**change):
+        made = {k: spark.createDataFrame(change.get(k, v), kinds[k]) for k, v in sound.items()}
+        return {r.file: r.error for r in reconstruction.plan_errors(files, **made).collect()}
+
+    s = sound["segments"]
+    assert errors() == {"f": None, "g": None, "h": "file not found"}
+    assert set(errors(packs=[*sound["packs"], ("x", 2)]).values()) == {"duplicate pack"}
+    assert set(errors(lookup=[*sound["lookup"], ("x", 0, "r9")]).values()) == {"duplicate lookup"}
+    assert errors(segments=[("f", 0, "x", 2, 1, 0), *s[1:]])["f"] == "reversed range"
+    assert errors(packs=[("y", 2)]) == {"f": "missing pack", "g": None, "h": "file not found"}
+    assert errors(segments=[("f", 0, "x", 0, 3, 5), *s[1:]])["f"] == "range beyond the pack"
+    assert errors(chunks=[c for c in sound["chunks"] if c[:2] != ("x", 1)])["f"] == "missing chunk"
+    assert errors(lookup=[c for c in sound["lookup"] if c[:2] != ("y", 1)]) == {"f": "missing raw hash", "g": "missing raw hash", "h": "file not found"}
+    assert errors(segments=[("f", 0, "x", 0, 2, 6), *s[1:]])["f"] == "segment length"
+    assert errors(segments=[*s[:2], ("f", 2, "z", 5, 1, 0), ("f", 3, "z", 0, 1, 0)])["f"] == "reversed range"
+    plan, bad = reconstruction.checked_plan(files, **{k: spark.createDataFrame(v, kinds[k]) for k, v in sound.items()})
+    assert sorted((r.file, r.pos, r.raw_hash) for r in plan.collect()) == [("f", 0, "r0"), ("f", 1, "r1"), ("f", 2, "r3"), ("g", 0, "r2"), ("g", 1, "r3")] and [r.file for r in bad.collect()] == ["h"]
+
+
+def test_positions_over_blocks_of_segments(spark, monkeypatch):
+    """Empty and reversed ranges give no chunk, and blocks of segments go on where the one before ended."""
+    monkeypatch.setattr(reconstruction, "SEGMENTS_A_BLOCK", 2)
+    rows = [("f", i, "x", i % 3, 3 if i % 4 else i % 3, 0) for i in range(9)] + [("f", 9, "x", 2, 1, 0)]
+    chunks = spark.createDataFrame([("x", i, 0, 1, f"r{i}") for i in range(3)], "pack_hash string, chunk_index bigint, byte_start bigint, raw_len bigint, raw_hash string")
+    got = sorted((r.pos, r.chunk_index) for r in reconstruction.plan(spark.createDataFrame(rows, SEGMENTS), chunks).collect())
+    assert got == list(enumerate(c for _, _, _, a, b, _ in rows for c in range(a, b)))
+
+
 def test_entry_stands_without_the_optional_parts(tmp_path):
     """The rest imports and answers where the subpackage and the pipeline are missing."""
     import shutil
