@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
+
 NONE, LZ4, BG4_LZ4 = 0, 1, 2
 SCHEMES = {"none": NONE, "lz4": LZ4, "bg4-lz4": BG4_LZ4}
 MOST_BYTES = 16 << 20
@@ -27,8 +29,31 @@ def bg4_regroup(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RAW = pa.Codec("lz4_raw") if pa.Codec.is_available("lz4_raw") else None
+
+
 def lz4_block(data: bytes) -> bytes:
-    """A valid LZ4 block: greedy matches from a table of the last place of each four bytes. Other encoders give other bytes."""
+    """An LZ4 block, by Arrow's codec where it has one. Other encoders give other bytes."""
+    return _RAW.compress(data, asbytes=True) if _RAW and data else plain_lz4_block(data)
+
+
+def lz4_unblock(block: bytes, size: int) -> bytes:
+    """Decodes a block to exactly `size` bytes, else an error."""
+    if not _RAW or not block or not 64 < size <= MOST_BYTES:
+        return plain_lz4_unblock(block, size)
+    try:
+        out = _RAW.decompress(block, decompressed_size=size, asbytes=True)
+    except (OSError, pa.ArrowException) as e:
+        raise ValueError(f"a bad block: {e}") from None
+    try:
+        _RAW.decompress(block, decompressed_size=size - 1)  # the codec doesn't tell how much it wrote
+    except (OSError, pa.ArrowException):
+        return out
+    raise ValueError(f"under {size} bytes")
+
+
+def plain_lz4_block(data: bytes) -> bytes:
+    """The same without a codec: greedy matches from a table of the last place of each four bytes."""
     out, last, anchor, i, n = bytearray(), {}, 0, 0, len(data)
 
     def rest(n: int) -> None:
@@ -69,8 +94,8 @@ def _length(n: int, block: bytes, i: int) -> tuple[int, int]:
     return n, i
 
 
-def lz4_unblock(block: bytes, size: int) -> bytes:
-    """Decodes a block to exactly `size` bytes, else an error."""
+def plain_lz4_unblock(block: bytes, size: int) -> bytes:
+    """The same without a codec, and the tests' second opinion."""
     out, i = bytearray(), 0
     try:
         while i < len(block):

@@ -95,12 +95,12 @@ def q05_chunk_index_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHUNKS_SQL}, ix AS (SELECT raw_hash, arg_max(oid, (doc_id, pos)) AS pack_hash, arg_max(pos, (doc_id, pos)) AS chunk_index FROM chunks GROUP BY raw_hash),
-p AS (SELECT item_id, sha256(text) AS raw_hash FROM benchmark UNION ALL SELECT doc_id + 1000000, raw_hash FROM chunks WHERE pos = 1)
+p AS (SELECT item_id, sha256(text) AS raw_hash FROM benchmark UNION ALL SELECT 1000000 + doc_id * 1000 + pos, raw_hash FROM chunks)
 SELECT item_id, raw_hash, pack_hash, chunk_index, pack_hash IS NOT NULL AS found FROM p LEFT JOIN ix USING (raw_hash)""")
 def q06_global_dedup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", oid(F.col("text").cast("binary")).alias("raw_hash"))
-    second = fixed_chunks(table(spark, sf_dir, "documents")).where("pos = 1").select((F.col("doc_id") + 1000000).alias("item_id"), "raw_hash")
-    found = items.union(second).join(q05_chunk_index_lww(spark, sf_dir), "raw_hash", "left")
+    own = fixed_chunks(table(spark, sf_dir, "documents")).select((1000000 + F.col("doc_id") * 1000 + F.col("pos")).alias("item_id"), "raw_hash")
+    found = items.union(own).join(q05_chunk_index_lww(spark, sf_dir), "raw_hash", "left")
     return found.select("item_id", "raw_hash", "pack_hash", "chunk_index", F.col("pack_hash").isNotNull().alias("found"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.registry import query, table
 
 # Names that no path may start with.
-RESERVED = ["CON", "PRN", "AUX", "NUL", *[f"COM{i}" for i in range(1, 10)], *[f"LPT{i}" for i in range(1, 10)]]
+RESERVED = ["CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9"]
 
 
 def valid_oid(c: Column) -> Column:
@@ -48,10 +48,11 @@ def scope_allows(scope: Column, wanted: str) -> Column:
     return has | F.array_contains(words, "write") if wanted == "read" else has
 
 
-def storage_scope_allows(scope: Column, wanted: str) -> Column:
-    """As the storage service sees it: write doesn't include read, and the word internal rules out all."""
+def storage_scope_allows(scope: Column, wanted: str, kind: Column | None = None) -> Column:
+    """As the storage service sees it: only user tokens (if kind is given), write doesn't include read, and the word internal rules out all."""
     words = F.split(F.trim(scope), r"\s+")
-    return F.lit(wanted != "internal") & F.array_contains(words, wanted) & ~F.array_contains(words, "internal")
+    own = F.lit(True) if kind is None else kind == "user"
+    return own & F.lit(wanted != "internal") & F.array_contains(words, wanted) & ~F.array_contains(words, "internal")
 
 
 def repo_type(c: Column, strict: bool = False) -> Column:
@@ -64,15 +65,15 @@ def repo_type(c: Column, strict: bool = False) -> Column:
 def bearer_or_basic(header: Column) -> Column:
     """The token of an Authorization header: after Bearer, or the password of Basic."""
     basic = F.try_to_binary(F.regexp_extract(header, r"^Basic (.+)$", 1), F.lit("base64")).cast("string")
-    return F.when(header.startswith("Bearer "), F.substring(header, 8, 1 << 20)).when(header.startswith("Basic ") & basic.contains(":"), F.regexp_extract(basic, r"(?s)^[^:]*:(.*)$", 1))
+    return F.when(header.startswith("Bearer "), F.substr(header, F.lit(8))).when(header.startswith("Basic ") & basic.contains(":"), F.regexp_extract(basic, r"(?s)^[^:]*:(.*)$", 1))
 
 
 def rewrite_url(url: Column, scheme: str, host: str, token: Column) -> Column:
-    """Another scheme and host (with port), and the token as a parameter more; null for what is no URL."""
-    rest = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^#]*)", 1)
+    """Another scheme and host (with port), and the token, percent-encoded, as a parameter more; null for what is no URL."""
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     mark = F.regexp_extract(url, "(#.*)$", 1)
-    joined = F.concat(F.lit(f"{scheme}://{host}"), rest, F.when(rest.contains("?"), "&").otherwise("?"), F.lit("token="), token, mark)
-    return F.when(url.rlike("^[a-z]+://[^/?#]+"), joined)
+    joined = F.concat(F.lit(f"{scheme}://{host}"), rest, F.when(rest.contains("?"), "&").otherwise("?"), F.lit("token="), F.url_encode(token), mark)
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), joined)
 
 
 @query("SELECT doc_id, octet_length(encode(text)) AS size, CASE WHEN octet_length(encode(text)) <= 4096 THEN 'regular' ELSE 'lfs' END AS mode, FALSE AS ignored FROM documents")
@@ -212,7 +213,7 @@ def q53_token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proxy_token(url: Column) -> Column:
     """The first token parameter whose decoded value is a proxy token; null if there is none."""
     query_part = F.regexp_extract(url, r"\?([^#]*)", 1)
-    values = F.transform(F.filter(F.split(query_part, "&"), lambda p: p.startswith("token=")), lambda p: F.try_url_decode(F.substring(p, 7, 1 << 20)))
+    values = F.transform(F.filter(F.split(query_part, "&"), lambda p: p.startswith("token=")), lambda p: F.try_url_decode(F.substr(p, F.lit(7))))
     return F.get(F.filter(values, lambda v: v.startswith("proxy_")), F.lit(0))
 
 

@@ -97,3 +97,22 @@ def test_compression_rejects():
     with pytest.raises(ValueError):
         compression.compress(7, b"")
     assert compression.scheme("none") == 0 and compression.scheme("what") == compression.LZ4
+
+
+def test_lz4_codecs_agree():
+    rng = random.Random(9)
+    for n in (0, 1, 5, 12, 13, 64, 65, 66, 100, 5000, 70_000):
+        data = bytes(rng.choice(b"ab" if n % 2 else bytes(range(256))) for _ in range(n))
+        for make in (compression.lz4_block, compression.plain_lz4_block):
+            block = make(data)
+            assert compression.lz4_unblock(block, n) == data == compression.plain_lz4_unblock(block, n)
+            for size in {n - 1, n + 1} - {-1}:
+                for read in (compression.lz4_unblock, compression.plain_lz4_unblock):
+                    with pytest.raises(ValueError):
+                        read(block, size)
+            for bad in (block[:-1], block[: len(block) // 2]):
+                with pytest.raises(ValueError):
+                    if n > 12:
+                        compression.lz4_unblock(bad, n)
+                    else:
+                        raise ValueError
