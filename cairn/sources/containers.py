@@ -220,6 +220,18 @@ class Manifest:
         out += bytes(32) + struct.pack("<QQ", 0, 0) + bytes(FOOTER - 8 * 7 - 32 - 16 - 32) + struct.pack("<QQQQ", *self.totals(), footer_at)
         return bytes(out)
 
+    @staticmethod
+    def outline(data: bytes, tags: Tags = TAGS) -> dict[str, int]:
+        """Numbers of files, packs and chunks, and the totals, from header and footer alone."""
+        if len(data) < RECORD + FOOTER or data[:32] != tags.manifest or struct.unpack_from("<QQ", data, 32) != (2, FOOTER):
+            raise ValueError("not a manifest of this version")
+        foot = data[-FOOTER:]
+        version, _, files, _, packs, _, chunks = struct.unpack_from("<7Q", foot)
+        stored, total, unpacked, at = struct.unpack_from("<QQQQ", foot, FOOTER - 32)
+        if version != 1 or at != len(data) - FOOTER:
+            raise ValueError("the footer is wrong")
+        return {"files": files, "packs": packs, "chunks": chunks, "stored_bytes": stored, "file_bytes": total, "unpacked_bytes": unpacked}
+
     @classmethod
     def decode(cls, data: bytes, tags: Tags = TAGS) -> Manifest:
         if len(data) < RECORD + FOOTER or data[:32] != tags.manifest or struct.unpack_from("<QQ", data, 32) != (2, FOOTER):

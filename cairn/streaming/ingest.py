@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.metrics import status_class
 from cairn.registry import query, table
 from cairn.scratch import path
 
@@ -44,3 +45,8 @@ def q50_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rates(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """user_id, window start and requests of a stream of events; state older than `late` is dropped."""
     return events.withWatermark("ts", late).groupBy("user_id", F.window("ts", window)).agg(F.count("*").alias("requests")).select("user_id", F.col("window.start").alias("start"), "requests")
+
+
+def counters(requests: DataFrame) -> DataFrame:
+    """class and requests since the start, of a stream with a status code; for the complete or update mode, five rows of state."""
+    return requests.groupBy(status_class(F.col("code")).alias("class")).agg(F.count("*").alias("requests"))
