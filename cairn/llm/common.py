@@ -2,71 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.registry import table  # noqa: F401  the operators take it from here
+from cairn.scratch import path as scratch  # noqa: F401
+from cairn.scratch import remove, written  # noqa: F401
+
 #: White space between words, by the contracts: space and U+0009 to U+000D. bytes.split() without arguments splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BATCH = 500
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none and runs on this machine alone, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-_scratch: dict[str, SparkSession] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's process ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(sweep)
-    _scratch[path] = spark
-    return path
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a written table, so that its lineage ends there and a lost executor costs nothing; and its path."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing reads any more, through Hadoop's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _scratch.pop(path, None)
-
-
-def sweep() -> None:
-    """Deletes what scratch() named. Results are lazy and read these tables, so no DataFrame made before may be used after."""
-    for path, spark in list(_scratch.items()):
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            remove(spark, path)
-        _scratch.pop(path, None)
-
-
 def unlike(names: Iterable[str], *wanted: str) -> list[str]:
     """The wanted column names, lengthened until none is among names (in any case, as Spark compares them)."""
     taken, out = {n.lower() for n in names}, []

@@ -128,7 +128,7 @@ def brute_licence(text, templates, threshold):
     for name, template in templates.items():
         want = Counter(pairs(template))
         m = want.total()
-        for size in {min(len(own), max(1, round(m * x))) for x in licences.SIZES} - {0}:
+        for size in {min(len(own), max(1, math.floor(m * x + 0.5))) for x in licences.SIZES} - {0}:
             for s in range(len(own) - size + 1):
                 dice = 2 * (Counter(own[s : s + size]) & want).total() / (m + size)
                 if dice >= threshold:
@@ -151,7 +151,9 @@ def licence_rows():
     ]
 
 
-def test_licences(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_licences(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(licences, "BROADCAST_ROWS", broadcast)
     df = spark.createDataFrame([(*r, "x", 1) for r in licence_rows()], "doc_id bigint, text string, licence string, h int")
     got = [tuple(r) for r in licences.scan(df).collect()]
     want = [(k, *brute_licence(t, licences.TEMPLATES, 0.8)) for k, t in licence_rows()]
