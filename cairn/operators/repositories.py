@@ -185,10 +185,10 @@ def q31_ndjson_commit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     name = F.col("doc_id").cast("string")
     op = lambda key, *fields: F.to_json(F.struct(F.lit(key).alias("key"), F.struct(*fields).alias("value"))).alias("line")
-    files = docs.select(op("file", F.concat_ws("/", "source", name).alias("path"), F.concat(F.lit("base64:"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")).alias("content")))
-    gone = docs.select(op("deletedFile", F.concat_ws("/", "lang", name).alias("path")))
+    file = op("file", F.concat_ws("/", "source", name).alias("path"), F.concat(F.lit("base64:"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")).alias("content"))
+    gone = op("deletedFile", F.concat_ws("/", "lang", name).alias("path"))
     other = table(spark, sf_dir, "labels").select(op("other", F.col("doc_id").alias("size")))
-    return parse_operations(files.union(gone).union(other)).select("key", "path", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha"), "error")
+    return parse_operations(docs.select(F.explode(F.array(file, gone)).alias("line")).union(other)).select("key", "path", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha"), "error")
 
 
 NOW = 0

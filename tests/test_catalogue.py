@@ -42,6 +42,29 @@ def test_other_queries_run(spark, name):
     assert rows and ("ok" not in rows[0] or all(r.ok for r in rows))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
+def test_content_chunks_and_roots_equal_the_kernels(spark, duck):
+    """q09, q10 and q18 against the byte-level kernels, one document at a time on the driver."""
+    from cairn.functions import cdc, merkle
+    from cairn.functions.blake3 import data_hash
+    from cairn.operators import chunks
+
+    docs = [(d, s, t.encode()) for d, s, t in duck.sql("SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL").fetchall()]
+    want, roots, stored = [], [], {}
+    for d, s, data in docs:
+        own = [(o, n, data_hash([data[o : o + n]])[0]) for o, n in cdc.chunks(data, cdc.Chunking(1024))]
+        want += [(d, i, o, n, h.hex()) for i, (o, n, h) in enumerate(own)]
+        roots.append((d, merkle.file_hash([(h, n) for _, n, h in own]).hex(), len(own), len(data)))
+        for _, n, h in own:
+            stored.setdefault(s, []).append((h, n))
+    assert plain(catalogue.QUERIES["q09_cdc_chunks"](spark, DATA).select("doc_id", "pos", "offset", "size", "raw_hash").collect()) == plain(want)
+    assert plain(catalogue.QUERIES["q18_merkle_root"](spark, DATA).collect()) == plain(roots)
+    again = chunks.merkle_roots(chunks.content_chunks(spark.read.parquet(f"{DATA}/documents.parquet")), "doc_id", "pos", "raw_hash", "size").collect()
+    assert plain(again) == plain([r[:2] for r in roots if r[2]])
+    got = catalogue.QUERIES["q10_cdc_dedup_stats"](spark, DATA).select("source", "n_chunks", "n_distinct", "raw_bytes", "stored_bytes").collect()
+    assert plain(got) == plain([(s, len(x), len(set(x)), sum(n for _, n in x), sum(n for _, n in set(x))) for s, x in stored.items()])
+
+
 def one(spark, column, values, kind="string"):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], f"x {kind}").select(column(F.col("x"))).collect()]
 
