@@ -139,6 +139,58 @@ def q14_recon_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.select("file", "pack_hash").distinct().join(whole, "pack_hash").groupBy("file").agg(F.count("*").alias("n_packs"), F.sum("n").alias("download_bytes"))
 
 
+def fetch_map(p: DataFrame, packs: DataFrame) -> DataFrame:
+    """file, place, pack_hash, and for each pack the chunks that the file takes of it and the stored bytes they lie in, end exclusive. Packs come in the order of the manifest (packs: pack_hash, place), not of the file."""
+    stored_end = F.col("byte_start") + HEADER_BYTES + F.col("raw_len")
+    ranges = p.groupBy("file", "pack_hash").agg(F.min("chunk_index").alias("first_chunk"), (F.max("chunk_index") + 1).alias("end_chunk"), F.min("byte_start").alias("range_start"), F.max(stored_end).alias("range_end"))
+    return ranges.join(packs, "pack_hash").select("file", "place", "pack_hash", "first_chunk", "end_chunk", "range_start", "range_end")
+
+
+def fetch_json(fetched: DataFrame) -> DataFrame:
+    """file and its body: the packs in order, and a map from each to its ranges."""
+    one = F.struct(F.struct(F.col("first_chunk").alias("start"), F.col("end_chunk").alias("end")).alias("chunks"), F.struct(F.col("range_start").alias("start"), F.col("range_end").alias("end")).alias("bytes"))
+    listed = fetched.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "pack_hash", one.alias("info")))).alias("ps"))
+    info = F.map_from_entries(F.transform("ps", lambda x: F.struct(x["pack_hash"], F.array(x["info"]))))
+    return listed.select("file", F.to_json(F.struct(F.transform("ps", lambda x: x["pack_hash"]).alias("packs"), info.alias("fetch"))).alias("body"))
+
+
+@query(PLAN_SQL + """, pl AS (SELECT oid AS pack_hash, min(doc_id) AS place FROM b GROUP BY oid)
+SELECT file, place, pack_hash, min(chunk_index)::BIGINT AS first_chunk, (max(chunk_index) + 1)::BIGINT AS end_chunk, min(byte_start)::BIGINT AS range_start, max(byte_start + 8 + raw_len)::BIGINT AS range_end FROM plan JOIN pl USING (pack_hash) GROUP BY ALL""")
+def q76_fetch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, chunks = model(spark, sf_dir)
+    return fetch_map(plan(segments, chunks), segments.groupBy("pack_hash").agg(F.min("seg_index").alias("place")))
+
+
+def compared(p: DataFrame, expected: DataFrame) -> DataFrame:
+    """file, chunks planned and expected, raw bytes, and the first position at which their hashes differ (null if none): file by file, place by place."""
+    both = p.select("file", "pos", "raw_hash", "raw_len").join(expected.select("file", "pos", F.col("raw_hash").alias("want")), ["file", "pos"], "full")
+    differs = F.when(~F.col("raw_hash").eqNullSafe(F.col("want")), F.col("pos"))
+    return both.groupBy("file").agg(F.count("raw_hash").alias("planned"), F.count("want").alias("expected"), F.coalesce(F.sum("raw_len"), F.lit(0)).alias("raw_bytes"), F.min(differs).alias("first_difference"))
+
+
+@query(PLAN_SQL + """, w AS (SELECT file, pos, CASE WHEN pos % 50 = 49 AND file LIKE 'src1%' THEN 'other' ELSE raw_hash END AS want FROM plan WHERE NOT (file LIKE 'src2%' AND pos = 3))
+SELECT file, count(raw_hash) AS planned, count(want) AS expected, sum(raw_len)::BIGINT AS raw_bytes, min(CASE WHEN raw_hash IS DISTINCT FROM want THEN pos END)::BIGINT AS first_difference FROM plan FULL JOIN w USING (file, pos) GROUP BY file""")
+def q77_compare_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans against lists of hashes; those of one source have other hashes in places, those of another lack a chunk."""
+    p = plan(*model(spark, sf_dir))
+    wrong = F.when((F.col("pos") % 50 == 49) & F.col("file").startswith("src1"), "other").otherwise(F.col("raw_hash"))
+    return compared(p, p.where(~(F.col("file").startswith("src2") & (F.col("pos") == 3))).select("file", "pos", wrong.alias("raw_hash")))
+
+
+def first_good(tried: DataFrame) -> DataFrame:
+    """file, reference and error, from tries (file, seq, error): the first reference without an error; else the first error that isn't "stale"; else "not found"."""
+    good, bad = F.when(F.col("error").isNull(), F.col("seq")), F.when(F.col("error") != "stale", F.struct("seq", "error"))
+    one = tried.groupBy("file").agg(F.min(good).alias("seq"), F.min(bad).alias("bad"))
+    return one.select("file", "seq", F.when(F.col("seq").isNull(), F.coalesce("bad.error", F.lit("not found"))).alias("error"))
+
+
+@query("""WITH t AS (SELECT o_custkey AS file, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'stale' WHEN 'F' THEN 'hash ' || o_orderkey % 3 END AS error FROM orders)
+SELECT file, min(seq) FILTER (error IS NULL) AS seq, CASE WHEN min(seq) FILTER (error IS NULL) IS NULL THEN coalesce(arg_min(error, seq) FILTER (error <> 'stale'), 'not found') END AS error FROM t GROUP BY file""")
+def q78_first_good_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.when(F.col("o_orderstatus") == "O", "stale").when(F.col("o_orderstatus") == "F", F.concat(F.lit("hash "), (F.col("o_orderkey") % 3).cast("string")))
+    return first_good(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("seq"), error.alias("error")))
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id AS seg_index, n_chars AS declared, sum(raw_len)::BIGINT AS found FROM chunks JOIN documents USING (doc_id) GROUP BY ALL HAVING sum(raw_len) <> n_chars")
 def q15_segment_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments whose declared length (here the number of characters) isn't that of their chunks."""

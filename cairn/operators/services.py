@@ -282,6 +282,46 @@ def q69_json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", repo_json(c("n_name"), name, c("c_acctbal") < 0, c("c_custkey") * 86399, c("c_custkey") * 86400).alias("body"), whoami_json(c("n_name"), name, F.lit("read")).alias("me"))
 
 
+def resolve_revision(requests: DataFrame, revisions: DataFrame, heads: DataFrame) -> DataFrame:
+    """requests (request, repo, revision) with outcome and commit: main is the head, eight or more hex digits a commit of just that id, anything else an error."""
+    hexed, main = F.col("revision").rlike("^[0-9a-fA-F]{8,}$"), F.col("revision") == "main"
+    known = revisions.select("repo", F.col("commit").alias("revision"), F.lit(True).alias("there"))
+    found = requests.join(known, ["repo", "revision"], "left").join(heads.select("repo", F.col("commit").alias("head")), "repo", "left")
+    commit = F.when(main, F.col("head")).when(hexed & F.col("there"), F.col("revision"))
+    outcome = F.when(commit.isNotNull(), "found").when(main | hexed, "not found").otherwise("invalid")
+    return found.select("request", outcome.alias("outcome"), commit.alias("commit"))
+
+
+@query("""WITH r AS (SELECT conv_id AS repo, substr(sha256(text), 1, 12) AS commit, turn FROM conversations), h AS (SELECT repo, arg_max(commit, turn) AS head FROM r WHERE repo % 3 <> 0 GROUP BY repo),
+q AS (SELECT event_id AS request, user_id AS repo, CASE event_id % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'v1.0' WHEN 2 THEN 'deadbeef' END AS fixed FROM events),
+a AS (SELECT request, q.repo, coalesce(fixed, (SELECT min(commit) FROM r WHERE r.repo = q.repo), 'abc') AS revision FROM q)
+SELECT request, CASE WHEN revision = 'main' THEN CASE WHEN head IS NULL THEN 'not found' ELSE 'found' END WHEN revision IN ('v1.0', 'abc') THEN 'invalid' WHEN revision = 'deadbeef' THEN 'not found' ELSE 'found' END AS outcome,
+CASE WHEN revision = 'main' THEN head WHEN revision NOT IN ('v1.0', 'abc', 'deadbeef') THEN revision END AS commit FROM a LEFT JOIN h USING (repo)""")
+def q79_resolve_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ask their user's conversation for its head, a tag, an unknown commit, or its least commit."""
+    revisions = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("repo"), F.substring(F.sha2("text", 256), 1, 12).alias("commit"), "turn")
+    heads = revisions.where("repo % 3 <> 0").groupBy("repo").agg(F.max_by("commit", "turn").alias("commit"))
+    k = F.col("event_id") % 4
+    fixed = F.when(k == 0, "main").when(k == 1, "v1.0").when(k == 2, "deadbeef")
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("request"), F.col("user_id").alias("repo"), fixed.alias("fixed"))
+    least = revisions.groupBy("repo").agg(F.min("commit").alias("least"))
+    requests = asked.join(least, "repo", "left").select("request", "repo", F.coalesce("fixed", "least", F.lit("abc")).alias("revision"))
+    return resolve_revision(requests, revisions.select("repo", "commit").distinct(), heads)
+
+
+def little_endian_bytes(value: Column, width: int) -> Column:
+    """The lowest `width` bytes (8 at most) of a whole number, the lowest first."""
+    digits = F.lpad(F.hex(value), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(width)]))
+
+
+@query("""SELECT o_orderkey, lower(hex(encode(chr((o_orderkey % 100 + 1)::INT)))) || '0000' AS u24, (o_orderkey * 1000003)::DECIMAL(20,0) AS number FROM orders""")
+def q80_numbers_as_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small numbers written in three bytes; larger ones written in eight and read back."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.lower(F.hex(little_endian_bytes(key % 100 + 1, 3))).alias("u24"), first_u64(little_endian_bytes(key * 1000003, 8)).alias("number"))
+
+
 def create_repo(repos: DataFrame, row: DataFrame, keys: tuple[str, ...] = ("namespace", "name", "repo_type")) -> tuple[DataFrame, str]:
     """repos with the new row, and "created"; or as they were, and "exists"."""
     there = repos.join(row.select(*keys), list(keys), "left_semi").limit(1).count()
