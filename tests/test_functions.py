@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 
@@ -99,6 +100,26 @@ def test_compression_rejects():
     assert compression.scheme("none") == 0 and compression.scheme("what") == compression.LZ4
 
 
+def test_hashing_block_by_block():
+    rng = random.Random(3)
+    for n in (0, 1, 1024, 1 << 20, (1 << 20) + 1, (1 << 20) + 1024, (1 << 21) + 5000, 5 * (1 << 20) + 77):
+        data = rng.randbytes(n)
+        h, dual = blake3.Hasher(), blake3.DualHasher(most=n)
+        at = 0
+        while at < n:
+            step = rng.choice([1, 1000, 4096, 700_000, 3_000_000])
+            h.update(data[at : at + step])
+            dual.update(data[at : at + step])
+            at += step
+        assert h.digest() == blake3.digests([data])[0]
+        assert dual.ids() == (blake3.data_hash([data])[0].hex(), hashlib.sha256(data).hexdigest())
+        dual.verify(hashlib.sha256(data).hexdigest().upper())
+        with pytest.raises(ValueError):
+            dual.verify("0" * 64)
+        with pytest.raises(ValueError):
+            dual.update(b"x")
+
+
 def test_lz4_codecs_agree():
     rng = random.Random(9)
     for n in (0, 1, 5, 12, 13, 64, 65, 66, 100, 5000, 70_000):
