@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairn.functions import cdc
+from cairn.functions.blake3 import data_hash
 from cairn.operators.metrics import status_class
 from cairn.registry import query, table
 from cairn.scratch import path
@@ -50,3 +56,31 @@ def rates(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -
 def counters(requests: DataFrame) -> DataFrame:
     """class and requests since the start, of a stream with a status code; for the complete or update mode, five rows of state."""
     return requests.groupBy(status_class(F.col("code")).alias("class")).agg(F.count("*").alias("requests"))
+
+
+def chunk_stream(blocks: DataFrame, target: int = 1024) -> DataFrame:
+    """blob, offset, size and raw_hash of the content-defined chunks of blobs that arrive block by block: blob, seq, data, last.
+
+    A blob's state is what no chunk holds yet, at most the longest chunk and a block, and goes with its last block. Blocks of a
+    micro-batch are put in order by seq; those of a later batch come after them. The chunks are those of the whole blob.
+    """
+    chunking = cdc.Chunking(target)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chunker, found, ended = cdc.StreamingChunker(chunking), [], False
+        if state.exists:
+            held, chunker.offset = state.get
+            chunker.held = bytearray(held)
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            found += chunker.feed(row.data or b"")
+            if row.last:
+                found += chunker.finish()
+                ended = True
+        if not ended:
+            state.update((bytes(chunker.held), chunker.offset))
+        elif state.exists:
+            state.remove()
+        hashes = [h.hex() for h in data_hash([data for _, data in found])]
+        yield pd.DataFrame({"blob": [key[0]] * len(found), "offset": [o for o, _ in found], "size": [len(data) for _, data in found], "raw_hash": hashes})
+
+    return blocks.groupBy("blob").applyInPandasWithState(run, "blob string, offset bigint, size bigint, raw_hash string", "held binary, at bigint", "append", GroupStateTimeout.NoTimeout)
