@@ -21,14 +21,14 @@ BLOB = "oid string, size bigint"
 def ingest(blobs: DataFrame, stored: str, checkpoint: str):
     """Starts a stream that appends each batch's new oids to the table at `stored`, once each.
 
-    The table lies in folders by the oid's first two digits, and a batch reads only those that it writes to.
+    The table lies in folders by the oid's first digit; a batch reads only the ids, and only of folders that it writes to.
     """
     spark = blobs.sparkSession
     spark.createDataFrame([], BLOB + ", part string").write.mode("append").partitionBy("part").parquet(stored)
 
     def put(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["oid"]).withColumn("part", F.substring("oid", 1, 2)).persist()
-        parts = [r.part for r in fresh.select("part").distinct().collect()]  # 256 at most
+        fresh = batch.dropDuplicates(["oid"]).withColumn("part", F.substring("oid", 1, 1)).persist()
+        parts = [r.part for r in fresh.select("part").distinct().collect()]  # 16 at most
         existing = spark.read.schema(BLOB + ", part string").parquet(stored).where(F.col("part").isin(parts))
         fresh.join(existing.select("oid"), "oid", "left_anti").select("oid", "size", "part").write.mode("append").partitionBy("part").parquet(stored)
         fresh.unpersist()
