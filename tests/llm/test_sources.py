@@ -145,8 +145,8 @@ def licence_rows():
     header = "\n".join(f" * {x}" for x in textwrap.wrap(t["Apache-2.0-header"], 60))
     return [
         (1, "Some words.\n  RELEASED under the MIT licence!\nMore words here."), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, t["MIT-permission"].replace(" ", "\n", 3)), (4, None), (5, ""),
-        (None, "Licensed under CC BY-NC 4.0."), (1, "nothing"), (6, "word " * 5000), (7, t["Apache-2.0-header"] + "\nlast line of it"), (8, f"{code}\n/*\n{header}\n */\n{code}"),
-        (9, "This line tells of many things. Released under the MIT License. And it goes on about others."), (10, t["MIT-text"].replace("free of charge", "at no charge")), (11, t["BSD-3-text"]), (11, t["BSD-3-text"]), (12, "of the " * 3000 + t["ISC-text"]),
+        (None, "Licensed under CC BY-NC 4.0."), (1, "nothing"), (6, "word " * 700), (7, t["Apache-2.0-header"] + "\nlast line of it"), (8, f"{code}\n/*\n{header}\n */\n{code}"),
+        (9, "This line tells of many things. Released under the MIT License. And it goes on about others."), (10, t["MIT-text"].replace("free of charge", "at no charge")), (11, t["BSD-3-text"]), (11, t["BSD-3-text"]), (12, "of the " * 200 + t["ISC-text"]),
         (13, "under the MIT License " * 50), (14, "Released"), (15, "released under"), (16, "Straße — ÉTÉ\x00 released UNDER the mit license"),
     ]
 
