@@ -18,15 +18,16 @@ table gives an empty result; no other columns are read.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 THRESHOLD = 0.8
 #: Windows' sizes, as multiples of a template's.
 SIZES = (0.8, 1.0, 1.25)
+#: Up to so many texts that pass the bounds (16 bytes and a key each), their keys are broadcast; beyond, joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 # Wording of public licences and their customary notices.
 TEMPLATES = {
@@ -50,23 +51,18 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def needed(m: int, threshold: float) -> tuple[int, int]:
-    """The least bigrams of a text, and the least bigrams in common, with which a template of m can reach the threshold."""
-    least = math.ceil(m * threshold / (2 - threshold) - 1e-9)
-    window = min([least, *[max(1, round(m * x)) for x in SIZES]])
-    return least, math.ceil(threshold * (m + window) / 2 - 1e-9)
+def sizes(m: Column) -> list[Column]:
+    return [F.greatest(F.lit(1), F.floor(m * x + 0.5).cast("int")) for x in SIZES]
 
 
 def _templates(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """name, m, least, common, bigram and c, how often the template has it; as many rows as templates have bigrams."""
-    given = docs.sparkSession.createDataFrame(sorted(templates.items()), "name string, text string")
-    rows = []
-    for name, text in given.select("name", normal(F.col("text"))).collect():
-        words = text.split(" ")
-        own = Counter(zip(words, words[1:], strict=False))
-        m = len(words) - 1
-        rows += [(name, m, *needed(m, threshold), f"{a} {b}", c) for (a, b), c in own.items()] if m else []
-    return docs.sparkSession.createDataFrame(rows, "name string, m int, least int, common int, bigram string, c int")
+    """name, m, least (bigrams of a text) and common (with the template) that can reach the threshold, bigram and c, how often the template has it. As many rows as templates have bigrams."""
+    given = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(0).alias("h"), F.lit(v).alias("text")) for k, v in sorted(templates.items())])))
+    own = _pairs(given.select("key", "h", normal(F.col("text")).alias("normal")))
+    m = F.col("m")
+    least = F.ceil(m * threshold / (2 - threshold) - 1e-9).cast("int")
+    listed = own.groupBy(F.col("key").alias("name"), F.col("n").alias("m"), "bigram").agg(F.count("*").cast("int").alias("c")).withColumn("least", least)
+    return listed.withColumn("common", F.ceil(threshold * (m + F.least("least", *sizes(m))) / 2 - 1e-9).cast("int"))
 
 
 def _pairs(texts: DataFrame) -> DataFrame:
@@ -78,19 +74,18 @@ def _pairs(texts: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """key, licence (the template of the best window, else null), dice (rounded to 6 places, else null), first_word (where its first such window starts, from 0, else null) and n_templates, those that reach the threshold; for every row."""
-    listed = _templates(docs, templates or TEMPLATES, threshold)  # some hundred rows a template, which the caller gives
+    listed, _ = written(_templates(docs, templates or TEMPLATES, threshold), "templates")  # some hundred rows a template, which the caller gives
+    most = listed.agg(F.max("c")).first()[0] or 1
     own = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
     hits = _pairs(own.select("key", "h", normal(F.col("text")).alias("normal"))).join(F.broadcast(listed), "bigram").where("n >= least")
     able = hits.groupBy("key", "h", "name").agg(F.count("*").alias("hits"), F.first("common").alias("common")).where("hits >= common").select("key", "h", "name")
 
-    few = able.select(F.col("key").alias("k"), F.col("h").alias("g")).distinct()
+    few, _ = written(able.select(F.col("key").alias("k"), F.col("h").alias("g")).distinct(), "able")
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     texts = own.join(few, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("g")), "left_semi").dropDuplicates(["key", "h"])
     again = _pairs(texts.select("key", "h", normal(F.col("text")).alias("normal"))).join(F.broadcast(listed), "bigram").where("n >= least")
-    sizes = F.array_distinct(F.array(*[F.least(F.col("n"), F.greatest(F.lit(1), F.round(F.col("m") * x).cast("int"))) for x in SIZES]))
-    following = F.when(F.col("c") == 1, F.lead("pos", 1).over(_order()))
-    for c in sorted({r.c for r in listed.select("c").distinct().collect()} - {1}):
-        following = following.when(F.col("c") == c, F.lead("pos", c).over(_order()))
-    spans = again.withColumn("following", following).withColumn("size", F.explode(sizes))
+    following = F.coalesce(*[F.when(F.col("c") == c, F.lead("pos", c).over(_order())) for c in range(1, most + 1)])
+    spans = again.withColumn("following", following).withColumn("size", F.explode(F.array_distinct(F.array(*[F.least("n", x) for x in sizes(F.col("m"))]))))
     first = F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1)
     last = F.least(F.col("pos"), F.col("n") - F.col("size"), F.coalesce(F.col("following") - F.col("size"), F.col("pos")))
     steps = spans.select("key", "h", "name", "m", "size", F.explode(F.array(F.struct(first.alias("s"), F.when(last >= first, 1).otherwise(0).alias("d")), F.struct((last + 1).alias("s"), F.when(last >= first, -1).otherwise(0).alias("d")))).alias("e"))
@@ -119,7 +114,7 @@ t AS (SELECT name, m, bigram, count(*) AS c FROM (SELECT name, len(w) - 1 AS m,
 d AS (SELECT row_number() OVER () AS id, doc_id, string_split({normal_sql("text")}, ' ') AS w FROM documents),
 p AS (SELECT id, len(w) - 1 AS n, unnest(range(1, len(w))) AS i, w FROM d WHERE len(w) > 1),
 g AS (SELECT id, n, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS bigram FROM p),
-x AS (SELECT g.id, g.n, g.pos, g.bigram, t.name, t.m, t.c, least(g.n, l) AS size FROM g JOIN t USING (bigram), LATERAL (SELECT DISTINCT least(g.n, greatest(1, round(t.m * z)::INT)) AS l FROM (VALUES {", ".join(f"({z})" for z in SIZES)}) v(z)) q),
+x AS (SELECT g.id, g.n, g.pos, g.bigram, t.name, t.m, t.c, least(g.n, l) AS size FROM g JOIN t USING (bigram), LATERAL (SELECT DISTINCT least(g.n, greatest(1, floor(t.m * z + 0.5)::INT)) AS l FROM (VALUES {", ".join(f"({z})" for z in SIZES)}) v(z)) q),
 k AS (SELECT id, name, m, size, bigram, c, unnest(range(greatest(0, pos - size + 1), least(pos, n - size) + 1)) AS s FROM x),
 f AS (SELECT id, name, m, size, s, sum(u) AS common FROM (SELECT id, name, m, size, s, bigram, least(count(*), any_value(c)) AS u FROM k GROUP BY id, name, m, size, s, bigram) GROUP BY ALL),
 r AS (SELECT id, name, m, s, 2.0::DOUBLE * common / (m + size) AS dice FROM f WHERE 2.0::DOUBLE * common / (m + size) >= {threshold}),
