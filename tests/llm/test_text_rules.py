@@ -74,6 +74,32 @@ def test_quality_tables(spark):
     assert quality.judge(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
 
 
+def test_every_labelled_row_counts(spark):
+    """More rows than any one draw holds: counts, masses and the threshold are those of all of them, and reruns in another order agree."""
+    from pyspark.sql import functions as F
+
+    n = 14_000
+    word = F.concat(F.lit("w"), F.expr("lpad(cast(id * 7919 % 9973 as string), 1 + cast(id % 5 as int), 'x')"))
+    bad = F.col("id") % 7 == 0
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(word, F.lit("q"), i.cast("string"), F.when(bad, "%%%").otherwise(""))), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), body.alias("text")).repartition(8)
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
+    rows = quality.labelled_statistics(docs, labels).cache()
+    parts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert sum(parts.values()) == n and parts["poor"] == n // 7 and abs(parts["grown"] - parts["held"]) < 500
+    assert all(len(x) == quality.PER_TREE for x in quality.drawn(rows.where("part = 'grown'"), parts["grown"]))
+    judge = quality.train(docs, labels)
+    grown = np.array([r.features for r in rows.where("part = 'grown'").collect()])
+    masses = judge.forest.masses(grown)
+    assert masses.sum() == quality.TREES * parts["grown"] and judge.forest.scale == quality.Forest.mean_path(parts["grown"])
+    leaves = judge.forest.feature < 0
+    assert np.allclose(judge.forest.extra[leaves], [quality.Forest.mean_path(k) for k in masses[leaves]])
+    score = {p: judge.forest.score(np.array([r.features for r in rows.where(f"part = '{p}'").collect()])) for p in ("held", "poor")}
+    assert (score["held"] > judge.threshold).sum() <= (1 - quality.KEEP_GOOD) * parts["held"] and (score["poor"] > judge.threshold).all()
+    again = quality.train(docs.orderBy(F.rand(3)), labels.orderBy(F.rand(4)))
+    assert again.threshold == judge.threshold and np.array_equal(again.forest.cut, judge.forest.cut)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
