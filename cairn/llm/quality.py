@@ -251,7 +251,7 @@ def drawn(rows: DataFrame, n: int, trees: int = TREES, per_tree: int = PER_TREE)
     return [x[lo : min(hi, lo + per_tree)] for lo, hi in zip(first[:-1], first[1:], strict=True)]
 
 
-def _tally(rows: DataFrame, names: list[str], size: int, count: object) -> list[np.ndarray]:
+def tally(rows: DataFrame, names: list[str], size: int, count: object) -> list[np.ndarray]:
     """For each name the numbers 0 to size - 1, summed over all rows; count(batch) gives one array of them for each name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +278,14 @@ def train(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, seed
     grown = rows.where("part = 'grown'")
     deviation = np.array([float(f"{n[f'd{i}']:.9g}") for i in range(len(FEATURES))])  # sums in another order agree to so many digits
     forest = Forest.grow_on(drawn(grown, n.grown), deviation, seed=seed)
-    (masses,) = _tally(grown, ["n"], len(forest.feature), lambda b: forest.masses(_features(b))[None])
+    (masses,) = tally(grown, ["n"], len(forest.feature), lambda b: forest.masses(_features(b))[None])
     forest.weigh(masses, n.grown)
 
     def scores(b: pa.RecordBatch) -> np.ndarray:
         at, poor = binned(forest.score(_features(b))), np.array(b.column(1).to_pylist()) == "poor"
         return np.stack([np.bincount(at[part], minlength=BINS) for part in (~poor, poor)])
 
-    fine, poor = _tally(rows.where("part <> 'grown'"), ["fine", "poor"], BINS, scores)
+    fine, poor = tally(rows.where("part <> 'grown'"), ["fine", "poor"], BINS, scores)
     remove(docs.sparkSession, path)
     return Judge(forest, threshold(fine, poor, keep_good))
 

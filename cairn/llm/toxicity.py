@@ -9,12 +9,16 @@ Null and empty texts are a text without words: they get the score that the bias
 rows may repeat and keys may be null: each row is scored by its text alone. An empty table gives an empty result;
 without labelled rows of both kinds every score is 0.
 
-The classifier is fitted on at most SAMPLE labelled rows, chosen by a hash of the key, of at most TRAIN_WORDS words
-each; that bounds what comes to the driver. Scoring covers every row and all its words.
+The classifier is fitted on all labelled rows and all their words, the held-out fifth left out; a quarter of the rows, by a
+hash of the key, calibrates instead. Training goes in ROUNDS: every shard of rows (about SHARD_WORDS words of one task, twice as many at most) goes
+on from the common model, and the shards' changes are averaged, those of a row of the table over the shards that changed
+it. Which rows share a shard depends on how Spark splits the files. What comes to the driver is the model, and counts by
+language and by GRID steps of the score, whatever the number of rows. Scoring covers every row and all its words.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,20 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts, trimmed
-from .quality import labelled_sample
+from .common import remove, small_batches, texts, trimmed, written
+from .quality import single_labels, tally
 
-SAMPLE = 6000
-TRAIN_WORDS = 3000
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # 16 bits hold a row's number
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 BATCH = 64
 #: Rows of the table that fewer training texts use stay zero, as they'd only learn those texts by heart.
 RARE = 4
-#: Minibatches in all; few labelled rows pass by more often.
+#: Minibatches of a shard in all rounds; a shard of few rows passes by more often, as far as ROUND_WORDS words a round, and any PASSES times a round.
 STEPS = 900
+ROUNDS = 4
+PASSES = 3
+ROUND_WORDS = 6_000_000
+#: Words that make a shard full, and a pack, the stored unit. All texts count, a longer one makes a larger shard.
+SHARD_WORDS = 2_000_000
+PACK_WORDS = 200_000
+#: Words whose windows are computed at once.
+BLOCK_WORDS = 50_000
+#: Steps of the score that thresholds are chosen from.
+GRID = 10_000
 #: Words whose rows a worker remembers; only speed depends on it.
 CACHE_ENTRIES = 120_000
 PAD = max(WIDTHS) - 1
@@ -103,75 +115,133 @@ def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for d in docs for x in (d, gap)]), starts
 
 
-def train(docs: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, seed: int = 11, rate: float = 0.03) -> Model:
-    """Minibatch Adagrad on the logistic loss. Only the words that a maximum picks get a gradient."""
-    m, rng = Model.start(seed), np.random.default_rng(seed)
-    seen_in = np.zeros(BUCKETS, np.int64)
+def _maxima(m: Model, ids: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width the texts' maxima (before the cut at 0) and their first places, in blocks, so that memory doesn't follow a text's length."""
+    tops = [np.full((len(starts), FILTERS), -np.inf, np.float32) for _ in WIDTHS]
+    places = [np.zeros((len(starts), FILTERS), np.int64) for _ in WIDTHS]
+    for lo in range(0, len(ids), BLOCK_WORDS):
+        hi = min(len(ids), lo + BLOCK_WORDS)
+        n, pad = hi - lo, ~ids[lo:hi].any(1)
+        x = m.vectors(ids[lo : hi + PAD])
+        x = np.concatenate([x, np.zeros((n + PAD - len(x), DIM), np.float32)])
+        first = int(np.searchsorted(starts, lo, "right")) - 1
+        docs = np.arange(first, int(np.searchsorted(starts, hi, "left")))
+        begin = np.maximum(starts[docs], lo) - lo
+        own = np.repeat(np.arange(len(docs)), np.diff([*begin, n]))
+        for k, (w, f, b) in enumerate(zip(WIDTHS, m.filters, m.shift, strict=True)):
+            y = sum(x[j : j + n] @ f[j] for j in range(w))
+            y[pad] = 0  # else a window there would reach into the next text
+            y += b
+            top = np.maximum.reduceat(y, begin)
+            at = np.zeros(top.shape, np.int64)
+            rows, cols = np.nonzero(y == top[own])
+            at[own[rows[::-1]], cols[::-1]] = rows[::-1] + lo
+            better = top > tops[k][docs]
+            tops[k][docs] = np.where(better, top, tops[k][docs])
+            places[k][docs] = np.where(better, at, places[k][docs])
+    return tops, places
+
+
+def probabilities(m: Model, docs: list[np.ndarray]) -> np.ndarray:
+    pooled = [np.maximum(np.concatenate(_maxima(m, *_padded(docs[lo : lo + 256]))[0], 1), 0) for lo in range(0, len(docs), 256)]
+    return 1 / (1 + np.exp(-np.clip(m.logit(np.concatenate(pooled)), -30, 30)))
+
+
+def seen_in(docs: list[np.ndarray]) -> np.ndarray:
+    """How many of the texts use each row of the table."""
+    found = np.zeros(BUCKETS, np.int64)
     for d in docs:
-        seen_in[np.unique(d)] += 1
-    rare = seen_in < RARE
-    rare[0] = True
-    m.table[rare] = 0
-    squares: dict[str, np.ndarray] = {}
-
-    def step(name: str, value: np.ndarray, gradient: np.ndarray) -> None:
-        s = squares.setdefault(name, np.full(value.shape, 1e-3, np.float32))
-        s += gradient**2
-        value -= rate * gradient / np.sqrt(s)
-
-    table_squares = np.full(BUCKETS, 1e-3, np.float32)
-    for _ in range(-(-steps * BATCH // max(len(docs), 1))):
-        order = rng.permutation(len(docs))
-        for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
-            ids, starts = _padded([docs[i] for i in part])
-            pad = ~ids.any(1)
-            ids[rng.random(len(ids)) < 0.03, 0] = 0  # some words are known by their first bytes only
-            x = m.vectors(ids)
-            x_end = np.concatenate([x, np.zeros((PAD, DIM), np.float32)])
-            pooled, picked = [], []
-            for w, f, b in zip(WIDTHS, m.filters, m.shift, strict=True):
-                y = sum(x_end[j : j + len(x)] @ f[j] for j in range(w))
-                y[pad] = 0  # else a window there would reach into the next text
-                y += b
-                top = np.maximum.reduceat(y, starts)
-                doc = np.repeat(np.arange(len(part)), np.diff([*starts, len(x)]))
-                at = np.zeros(top.shape, np.int64)
-                rows, cols = np.nonzero(y == top[doc])
-                at[doc[rows[::-1]], cols[::-1]] = rows[::-1]
-                pooled.append(np.maximum(top, 0))
-                picked.append((at, top > 0))
-            p = np.concatenate(pooled, 1)
-            error = ((1 / (1 + np.exp(-np.clip(m.logit(p), -30, 30)))) - toxic[part]) / len(part)
-            back = np.outer(error, m.weight).astype(np.float32)
-            step("weight", m.weight, p.T @ error.astype(np.float32) + 1e-5 * m.weight)
-            bias = np.array([m.bias], np.float32)
-            step("bias", bias, np.array([error.sum()], np.float32))
-            m.bias = float(bias[0])
-            hit_rows, hit_grads = [], []
-            for k, (w, f) in enumerate(zip(WIDTHS, m.filters, strict=True)):
-                at, on = picked[k]
-                g = back[:, k * FILTERS : (k + 1) * FILTERS] * on
-                df = np.zeros_like(f)
-                in_text = g * ~pad[at]
-                for j in range(w):
-                    seen = x_end[at + j]
-                    df[j] = np.einsum("nf,nfd->df", in_text, seen)
-                    inside = at + j < len(x)
-                    hit_rows.append((at + j)[inside])
-                    hit_grads.append((in_text[:, :, None] * f[j].T[None])[inside])
-                step(f"shift{k}", m.shift[k], g.sum(0))
-                step(f"filter{k}", f, df)
-            rows, grads = np.concatenate(hit_rows), np.concatenate(hit_grads)
-            for c in range(3):
-                target = ids[rows, c]
-                found, inverse = np.unique(target, return_inverse=True)
-                total = np.zeros((len(found), DIM), np.float32)
-                np.add.at(total, inverse, grads)
-                total[rare[found]] = 0
-                table_squares[found] += (total**2).mean(1)
-                m.table[found] -= rate * total / np.sqrt(table_squares[found])[:, None]
-    return m
+        found[np.unique(d)] += 1
+    return found
+
+
+class State:
+    """A model in training: with the sums of squares of Adagrad, and the rows of the table that stay zero."""
+
+    def __init__(self, seen: np.ndarray, seed: int):
+        self.model = Model.start(seed)
+        self.rare = seen < RARE
+        self.rare[0] = True
+        self.model.table[self.rare] = 0
+        self.table_squares = np.full(BUCKETS, 1e-3, np.float32)
+        self.squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in self.dense().items()}
+
+    def dense(self) -> dict[str, np.ndarray]:
+        """All but the table; the arrays are the model's own, but for the bias."""
+        m = self.model
+        return {"weight": m.weight, "bias": np.array([m.bias], np.float32)} | {f"shift{k}": x for k, x in enumerate(m.shift)} | {f"filter{k}": x for k, x in enumerate(m.filters)}
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The table with its squares as last column; the rest, with its squares after it."""
+        return np.column_stack([self.model.table, self.table_squares]).astype(np.float64), np.concatenate([x.ravel() for part in (self.dense(), self.squares) for x in part.values()]).astype(np.float64)
+
+    def add(self, table: np.ndarray, rest: np.ndarray) -> None:
+        """Adds changes of flat()'s shapes."""
+        self.model.table += table[:, :DIM].astype(np.float32)
+        self.table_squares += table[:, DIM].astype(np.float32)
+        at = 0
+        for part in (self.dense(), self.squares):
+            for name, x in part.items():
+                x += rest[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+                if part is not self.squares and name == "bias":
+                    self.model.bias = float(x[0])
+
+    def descend(self, docs: list[np.ndarray], toxic: np.ndarray, passes: int, rng: np.random.Generator, rate: float = 0.03) -> None:
+        """Minibatch Adagrad on the logistic loss. Only the words that a maximum picks get a gradient."""
+        m, rare, table_squares = self.model, self.rare, self.table_squares
+
+        def step(name: str, value: np.ndarray, gradient: np.ndarray) -> None:
+            s = self.squares[name]
+            s += gradient**2
+            value -= rate * gradient / np.sqrt(s)
+
+        for _ in range(passes):
+            order = rng.permutation(len(docs))
+            for lo in range(0, len(order), BATCH):
+                part = order[lo : lo + BATCH]
+                ids, starts = _padded([docs[i] for i in part])
+                pad = ~ids.any(1)
+                ids[rng.random(len(ids)) < 0.03, 0] = 0  # some words are known by their first bytes only
+                tops, places = _maxima(m, ids, starts)
+                p = np.concatenate([np.maximum(t, 0) for t in tops], 1)
+                error = ((1 / (1 + np.exp(-np.clip(m.logit(p), -30, 30)))) - toxic[part]) / len(part)
+                back = np.outer(error, m.weight).astype(np.float32)
+                step("weight", m.weight, p.T @ error.astype(np.float32) + 1e-5 * m.weight)
+                bias = np.array([m.bias], np.float32)
+                step("bias", bias, np.array([error.sum()], np.float32))
+                m.bias = float(bias[0])
+                end = np.concatenate([ids, np.zeros((PAD, 3), ids.dtype)])
+                hit_rows, hit_grads = [], []
+                for k, (w, f) in enumerate(zip(WIDTHS, m.filters, strict=True)):
+                    at = places[k]
+                    g = back[:, k * FILTERS : (k + 1) * FILTERS] * (tops[k] > 0)
+                    df = np.zeros_like(f)
+                    in_text = g * ~pad[at]
+                    for j in range(w):
+                        seen = m.vectors(end[at + j].reshape(-1, 3)).reshape(*at.shape, DIM)
+                        df[j] = np.einsum("nf,nfd->df", in_text, seen)
+                        inside = at + j < len(ids)
+                        hit_rows.append((at + j)[inside])
+                        hit_grads.append((in_text[:, :, None] * f[j].T[None])[inside])
+                    step(f"shift{k}", m.shift[k], g.sum(0))
+                    step(f"filter{k}", f, df)
+                rows, grads = np.concatenate(hit_rows), np.concatenate(hit_grads)
+                for c in range(3):
+                    target = ids[rows, c]
+                    found, inverse = np.unique(target, return_inverse=True)
+                    total = np.zeros((len(found), DIM), np.float32)
+                    np.add.at(total, inverse, grads)
+                    total[rare[found]] = 0
+                    table_squares[found] += (total**2).mean(1)
+                    m.table[found] -= rate * total / np.sqrt(table_squares[found])[:, None]
+
+
+def train(docs: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, seed: int = 11, rate: float = 0.03) -> Model:
+    """One shard, in memory."""
+    state = State(seen_in(docs), seed)
+    state.descend(docs, toxic, -(-steps * BATCH // max(len(docs), 1)), np.random.default_rng(seed), rate)
+    return state.model
 
 
 class Scorer:
@@ -251,61 +321,166 @@ def rescaled(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t))
 
 
+def _cells(p: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return lang * GRID + np.clip((p * GRID).astype(np.int64), 0, GRID - 1)
+
+
 def calibrate(model: Model, p: np.ndarray, toxic: np.ndarray, lang: np.ndarray) -> None:
-    """For each language the threshold with the fewest errors, halfway in its gap; where a language has under 20 rows of either kind, that of all rows."""
+    cells = _cells(p, lang)
+    calibrate_on(model, *(np.bincount(cells[part], minlength=GRID * len(NAMES)) for part in (toxic, ~toxic)))
 
-    def best(p: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(p, kind="stable")
-        p, y = p[order], y[order]
-        errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((~y)[::-1])[::-1], [0]])
-        edges = np.concatenate([[0.0], (p[1:] + p[:-1]) / 2, [1.0]])
+
+def calibrate_on(model: Model, toxic: np.ndarray, fine: np.ndarray) -> None:
+    """From the rows' numbers by cell: for each language the threshold with the fewest errors, halfway in its gap; where a language has under 20 rows of either kind, that of all rows."""
+
+    def best(y: np.ndarray, n: np.ndarray) -> float:
+        errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum(n[::-1])[::-1], [0]])
         good = np.flatnonzero(errors == errors.min())
-        return float(np.clip(edges[good[len(good) // 2]], 0.01, 0.99))
+        return float(np.clip(good[len(good) // 2] / GRID, 0.01, 0.99))
 
-    both = best(p, toxic) if toxic.any() and not toxic.all() else 0.5
+    toxic, fine = toxic.reshape(-1, GRID), fine.reshape(-1, GRID)
+    both = best(toxic.sum(0), fine.sum(0)) if toxic.any() and fine.any() else 0.5
     for i in range(len(NAMES)):
-        own = lang == i
-        model.thresholds[i] = best(p[own], toxic[own]) if min((toxic & own).sum(), (~toxic & own).sum()) >= 20 else both
+        model.thresholds[i] = best(toxic[i], fine[i]) if min(toxic[i].sum(), fine[i].sum()) >= 20 else both
 
 
 def fit_rows(ids: list[np.ndarray], toxic: np.ndarray, lang: np.ndarray, seed: int = 11) -> Model | None:
-    """Three quarters of the rows train, the rest calibrate."""
+    """train_on() for rows in memory: three quarters of the rows train, the rest calibrate."""
     if not toxic.any() or toxic.all():
         return None
     order = np.random.default_rng(seed).permutation(len(ids))
     cut = max(1, len(order) * 3 // 4)
     model = train([ids[i] for i in order[:cut]], toxic[order[:cut]].astype(np.float32), seed=seed)
     held = order[cut:] if cut < len(order) else order
-    pooled = []
-    for lo in range(0, len(held), 256):
-        flat, starts = _padded([ids[i] for i in held[lo : lo + 256]])
-        x, pad, tops = np.concatenate([model.vectors(flat), np.zeros((PAD, DIM), np.float32)]), ~flat.any(1), []
-        for f, b in zip(model.filters, model.shift, strict=True):
-            y = sum(x[j : j + len(flat)] @ f[j] for j in range(len(f)))
-            y[pad] = 0
-            tops.append(np.maximum.reduceat(y, starts) + b)
-        pooled.append(np.maximum(np.concatenate(tops, 1), 0))
-    p = 1 / (1 + np.exp(-np.clip(model.logit(np.concatenate(pooled)), -30, 30)))
-    calibrate(model, p, toxic[held], lang[held])
+    calibrate(model, probabilities(model, [ids[i] for i in held]), toxic[held], lang[held])
     return model
 
 
-def train_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
-    """The model of labelled rows outside the held-out fifth: crc32 of doc_id, as text, not divisible by 5."""
+PACK = "calibrates boolean, n bigint, n_toxic bigint, keys binary, sizes binary, ids binary, toxic binary, lang binary"
+
+
+def packs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All labelled rows outside the held-out fifth, whole texts as rows of the table, many in a row of their own. Of a key's repeated rows the text of the least hash counts."""
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "toxic", most)
+    learnt = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    rows = docs.select(docs.doc_id, docs.text).where(learnt).join(single_labels(labels.where(learnt), "toxic"), "doc_id")
+    rows = rows.groupBy("doc_id", "__label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def pack(c: bool) -> pa.RecordBatch:
+            key, toxic, ids, lang = zip(*held[c], strict=True)
+            made = [c, len(key), sum(toxic), np.array(key, np.int64).tobytes(), np.array([len(x) for x in ids], np.int64).tobytes(), b"".join(x.tobytes() for x in ids), bytes(toxic), bytes(lang)]
+            held[c], size[c] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=[x.split()[0] for x in PACK.split(", ")])
+
         for b in batches:
-            words = [split(t) for t in texts(b.column(2))]
-            keep = [i for i, w in enumerate(words) if len(w) <= TRAIN_WORDS]
-            ids = [np.array([buckets(w) for w in words[i]], np.int32).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(ids, pa.binary()), pa.array([language(words[i]) for i in keep], pa.int64())], names=["doc_id", "toxic", "ids", "lang"])
-
-    found = rows.select("doc_id", F.col("__label").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, ids binary, lang bigint").toArrow()
-    found = found.sort_by([("doc_id", "ascending")])
-    ids = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in found.column("ids").to_pylist()]
-    return fit_rows(ids, found.column("toxic").to_numpy() == 1, found.column("lang").to_numpy())
+            for key, c, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), texts(b.column(3)), strict=True):
+                words = split(text)
+                held[c].append((key, int(toxic), np.array([buckets(w) for w in words], np.uint16).reshape(-1, 3), language(words)))
+                size[c] += len(words) + PAD
+                if size[c] >= PACK_WORDS:
+                    yield pack(c)
+        for c in held:
+            if held[c]:
+                yield pack(c)
+
+    calibrates = F.xxhash64("doc_id", F.lit("calibrates")) % 4 == 0
+    return rows.select(F.xxhash64("doc_id"), calibrates, F.col("__label") == 1, "text").mapInArrow(trimmed(run), PACK)
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Of each pack the keys, texts, labels and languages."""
+    for r in batch.to_pylist():
+        sizes = np.frombuffer(r["sizes"], np.int64)
+        ids = np.frombuffer(r["ids"], np.uint16).reshape(-1, 3)
+        yield np.frombuffer(r["keys"], np.int64), np.split(ids, np.cumsum(sizes)[:-1]), np.frombuffer(r["toxic"], np.uint8) == 1, np.frombuffer(r["lang"], np.uint8).astype(np.int64)
+
+
+BLOCK_ROWS = 1024
+
+
+def _round(shards: DataFrame, state: State, turn: int, seed: int) -> None:
+    """Every shard goes on from state; then state takes their average change."""
+    given = shards.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = given.value
+        table0, rest0 = start.flat()
+        table, rest, first = np.zeros((BUCKETS, DIM + 2)), np.zeros(len(rest0) + 1), None
+        held: list[tuple] = []
+
+        def learn() -> None:
+            nonlocal rest, first
+            own = copy.deepcopy(start)
+            keys, docs, toxic = np.concatenate([h[0] for h in held]), [d for h in held for d in h[1]], np.concatenate([h[2] for h in held])
+            order = np.argsort(keys, kind="stable")
+            low = int(keys[order[0]]) % 2**64
+            passes = max(PASSES, min(-(-STEPS * BATCH // ROUNDS // len(docs)), ROUND_WORDS // (sum(map(len, docs)) + 1)))
+            own.descend([docs[i] for i in order], toxic[order].astype(np.float32), passes, np.random.default_rng([seed, turn, low]))
+            t, r = own.flat()
+            t -= table0
+            table[:] += np.column_stack([t, t.any(1)])
+            rest += np.append(r - rest0, 1)
+            first = low if first is None else min(first, low)
+            held.clear()
+
+        words = 0
+        for b in batches:
+            for pack in _unpacked(b):
+                held.append(pack)
+                words += sum(len(d) + PAD for d in pack[1])
+                if words >= 2 * SHARD_WORDS:
+                    learn()
+                    words = 0
+        if held:
+            learn()
+        if first is not None:
+            parts = [*(table[lo : lo + BLOCK_ROWS] for lo in range(0, BUCKETS, BLOCK_ROWS)), rest]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([f"{first:020d}"] * len(parts)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "first", "data"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("first")  # so that sums agree in all runs
+        data = sum(np.frombuffer(x.as_py()) for x in rows.column("data"))
+        return pa.table({"part": rows.column("part").slice(0, 1), "data": pa.array([data.tobytes()], pa.binary())})
+
+    schema = "part int, first string, data binary"
+    found = shards.mapInArrow(trimmed(run), schema).groupBy("part").applyInArrow(total, "part int, data binary").toArrow().sort_by("part")
+    *table, rest = [np.frombuffer(x) for x in found.column("data").to_pylist()]
+    whole = np.concatenate(table).reshape(BUCKETS, DIM + 2)
+    state.add(whole[:, :-1] / np.maximum(whole[:, -1:], 1), rest[:-1] / rest[-1])
+    given.destroy()
+
+
+def train_on(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model | None:
+    """The model of all labelled rows outside the held-out fifth: crc32 of doc_id, as text, not divisible by 5."""
+    rows, path = written(packs(docs, labels), "toxicity")
+    counts = {r.calibrates: (r.n, r.n_toxic) for r in rows.groupBy("calibrates").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).collect()}
+    n, n_toxic = (sum(c[i] for c in counts.values()) for i in range(2))
+    model = None
+    if 0 < n_toxic < n:
+        own, own_toxic = counts.get(False, (0, 0))
+        shards = rows.where("NOT calibrates") if 0 < own_toxic < own else rows  # very few rows do both
+        (seen,) = tally(shards, ["n"], BUCKETS, lambda b: sum(seen_in(d) for _, d, *_ in _unpacked(b))[None] if b.num_rows else 0)
+        state = State(seen, seed)
+        words = shards.agg(F.sum(F.length("ids"))).first()[0] // 6
+        shards = shards.coalesce(words // SHARD_WORDS + 1)  # else many small files would make shards of few rows
+        for turn in range(ROUNDS):
+            _round(shards, state, turn, seed)
+        model = state.model
+
+        def cells(b: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((2, GRID * len(NAMES)), np.int64)
+            for _, d, toxic, lang in _unpacked(b):
+                at = _cells(probabilities(model, d), lang)
+                out += [np.bincount(at[part], minlength=out.shape[1]) for part in (toxic, ~toxic)]
+            return out
+
+        calibrate_on(model, *tally(rows.where("calibrates") if True in counts else rows, ["toxic", "fine"], GRID * len(NAMES), cells))
+    remove(docs.sparkSession, path)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -65,3 +66,33 @@ def test_tables(spark):
     assert {r.doc_id for r in kept.collect()} >= {900, 901}
     assert t.train_on(docs, labels.limit(0)) is None
     assert t.clean(docs, None).count() == len(rows) and t.score(docs.limit(0), model).count() == 0
+
+
+def test_every_labelled_row_and_word_trains(spark, monkeypatch):
+    """Long texts count whole, rows beyond any fixed number too, in several shards; what they teach is found in other texts."""
+    monkeypatch.setattr(t, "PACK_WORDS", 4000)
+    monkeypatch.setattr(t, "SHARD_WORDS", 60_000)
+    rows = made(1500, 3)
+    rng = random.Random(4)
+    filler = [w for _, x, y in rows[:40] if not y for w in x.split()]
+    late = lambda toxic: " ".join([*(rng.choice(filler) for _ in range(3200)), *(["vexil"] if toxic else []), "end"])
+    rows += [(2000 + i, late(i % 2), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, toxic int")
+    found = t.packs(docs, labels).collect()
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert sum(r.n for r in found) == len(learnt) and sum(r.n_toxic for r in found) == sum(r[2] for r in learnt)
+    assert sum(len(r.ids) for r in found) == 6 * sum(len(t.split(r[1])) for r in learnt)
+    model = t.train_on(docs, labels)
+    fresh = [(r[1], r[2]) for r in rows if r not in learnt]
+    scores = t.Scorer(model).score([x for x, _ in fresh])[0]
+    assert ((scores >= 0.5) == np.array([y == 1 for _, y in fresh])).mean() > 0.9
+
+
+def test_blocks_make_no_difference(monkeypatch):
+    ids = [np.array([t.buckets(w) for w in t.split(x)], np.int32) for _, x, _ in made(50, 5)] + [np.zeros((0, 3), np.int32)]
+    model = t.Model.start(3)
+    whole = t._maxima(model, *t._padded(ids))
+    monkeypatch.setattr(t, "BLOCK_WORDS", 7)
+    cut = t._maxima(model, *t._padded(ids))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole[0], cut[0]))
