@@ -3,7 +3,7 @@
 A word (a match of the tokenizer's pattern) starts as rows (word, position, end, token), one for each byte. One round of
 the recursive query joins neighbouring tokens to the merge table, finds each word's leftmost pair of least rank and
 contracts it; words without a pair leave the recursion. Decoding joins token rows to the vocabulary and concatenates
-the pieces by an ordered aggregation.
+the pieces by an ordered aggregation. The words of a batch are found at once, and each different one is looked up once.
 
 Null texts count as empty: no token, and the digests of nothing. Texts may be of any length: a partition handles a few
 MB at a time. Words over LONG_WORD bytes are first cut where no token of the vocabulary can reach across; a round
@@ -15,6 +15,7 @@ leftmost pair. An empty table gives an empty result. Only the columns asked for
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -30,7 +31,7 @@ from .common import gathered, small_batches, texts, trimmed
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 64
 BATCH_BYTES = 2_000_000
-#: Words and chunks whose ids a worker remembers; when full, it starts again. Only speed depends on it.
+#: Words whose ids a worker remembers; from half of them on it keeps those that recur. Only speed depends on it.
 CACHE_ENTRIES = 500_000
 #: Words' bytes (tokens of a slice, in long ones) in one recursive query; keeps its rows, over all rounds, within DUCKDB_MEMORY. Nothing spills to a disk.
 QUERY_BYTES = 200_000
@@ -40,6 +41,12 @@ LONG_ROUNDS = 6
 #: Ids in one decoding query.
 DECODE_TOKENS = 250_000
 
+#: The pattern whose words are found for a batch at once; those of any other one by its own search.
+OWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Kinds of code points; 0 is any other.
+LETTER, NUMBER, WHITE = 1, 2, 3
+
 #: Of the hashes of tokens and of parts of words.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +106,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.parts_alike = pattern == public_tokenizers.PATTERN
+        self.own_split = pattern == OWN_PATTERN
         self.byte_token = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, rank = [], [], []
         by_length: dict[int, list[tuple[bytes, int]]] = {}
@@ -133,9 +140,10 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.ranks = ranks
-        self.known: dict[str, bytes] = {"": b""}  # ids of chunks and words; a word is a chunk of one word
+        self.known: dict[str, bytes] = {}  # words' ids
+        self.before: dict[str, bytes] = {}  # those known until there were too many; what recurs gets known again
 
-    def _short(self, words: list[bytes]) -> list[np.ndarray]:
+    def _short(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, by one recursive query. Positions leave a gap between words, so pairs never cross."""
         data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -143,7 +151,7 @@ class Codec:
         self.db.register("start_rows", pa.table({"word": word, "pos": pos, "stop": pos + 1, "token": self.byte_token[data]}))
         ids = self.db.sql(ENCODE_SHORT).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("start_rows")
-        flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
         return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _contract(self, slices: list[tuple], reach: int, rounds: int = LONG_ROUNDS) -> list[tuple]:
@@ -180,7 +188,7 @@ class Codec:
         rank = np.where(self.sorted_pairs[at] == pair, self.sorted_ranks[at], np.iinfo(np.int32).max)
         return bool(rank[-1] < np.iinfo(np.int32).max and (rank >= rank[-1]).all() and rank[-1] not in astir)
 
-    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+    def _long(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, QUERY_BYTES at most in all, or of one word of any length, which is sliced anew each time."""
         raw = [np.frombuffer(w, np.uint8) for w in words]
         within, longest = self._present(np.concatenate(raw))
@@ -215,10 +223,10 @@ class Codec:
             state = [tuple(np.concatenate([m[k] for m in made]) for k in range(3))]
             idle, turn = 0 if len(state[0][0]) < size else idle + 1, turn + 1
         self.db.unregister("astir")
-        return [s[2].astype("<u4") for s in state]
+        return [s[2].astype("<u4").tobytes() for s in state]
 
     @staticmethod
-    def _in_queries(query: Callable[[list[bytes]], list[np.ndarray]], words: list[bytes]) -> list[np.ndarray]:
+    def _in_queries(query: Callable[[list[bytes]], list[bytes]], words: list[bytes]) -> list[bytes]:
         out, held, size = [], [], 0
         for w in words:
             if held and size + len(w) > QUERY_BYTES:
@@ -232,20 +240,21 @@ class Codec:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
         out = [b"" if (r := self.ranks.get(w)) is None else r.to_bytes(4, "little") for w in raw]  # a word that is a token stays whole
+        short = [i for i, w in enumerate(raw) if w and not out[i] and len(w) <= LONG_WORD]
+        for i, found in zip(short, self._in_queries(self._short, [raw[i] for i in short]), strict=True):
+            out[i] = found
         pieces, owner = [], []
         for i, w in enumerate(raw):
-            if out[i] or not w:
+            if out[i] or len(w) <= LONG_WORD:
                 continue
-            cuts = [0, len(w)]
-            if len(w) > LONG_WORD:
-                x = np.frombuffer(w, np.uint8)
-                cuts[1:1] = (np.flatnonzero(~self.reach[x[:-1], x[1:]]) + 1).tolist()
+            x = np.frombuffer(w, np.uint8)
+            cuts = [0, *(np.flatnonzero(~self.reach[x[:-1], x[1:]]) + 1).tolist(), len(w)]
             pieces += [w[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             owner += [i] * (len(cuts) - 1)
         ids: list[bytes] = [b""] * len(pieces)
         for query, mine in ((self._short, [k for k, x in enumerate(pieces) if len(x) <= LONG_WORD]), (self._long, [k for k, x in enumerate(pieces) if len(x) > LONG_WORD])):
             for k, found in zip(mine, self._in_queries(query, [pieces[k] for k in mine]), strict=True):
-                ids[k] = found.tobytes()
+                ids[k] = found
         parts: dict[int, list[bytes]] = {}
         for i, x in zip(owner, ids, strict=True):
             parts.setdefault(i, []).append(x)
@@ -253,45 +262,76 @@ class Codec:
             out[i] = b"".join(found)
         return out
 
-    def _split(self, text: str) -> list[str]:
-        """Chunks whose words are those of the text: it always starts a word where a space precedes what isn't white."""
-        if self.parts_alike and "\0" not in text and not _SPACES.search(text):
-            return text.replace(" ", "\0 ").split("\0")
-        return self.pattern.findall(text)
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        known, out, waiting, fresh = self.known, [], [], {}
-        for i, text in enumerate(batch):
-            chunks = self._split(text)
-            got = list(map(known.get, chunks))
-            gaps, at = [], -1
-            try:
-                while True:
-                    at = got.index(None, at + 1)
-                    gaps.append((at, chunks[at]))
-            except ValueError:
-                fresh.update(dict.fromkeys([c for _, c in gaps]))
-            if gaps:
-                waiting.append((i, gaps, got))
-                out.append(b"")
+    def _starts(self, text: str, firsts: np.ndarray) -> np.ndarray:
+        """Where the pattern's words start in joined texts, which start at firsts; in code points.
+
+        A word is a run of one kind. White space before something else leaves its last sign to it: a space joins what
+        follows, other signs stand alone. An apostrophe that starts a word takes an ending of CONTRACTIONS with it.
+        """
+        points = np.frombuffer((text + "\0\0").encode("utf-32-le"), "<u4")
+        kind = _kinds()[points[:-2]]
+        opens, starts = np.zeros(len(points), bool), np.ones(len(points), bool)
+        opens[firsts], opens[-2:] = True, True
+        np.not_equal(kind[1:], kind[:-1], out=starts[1:-2])
+        starts |= opens
+        after = np.flatnonzero(starts[1:-2] & ~opens[1:-2] & (kind[:-1] == WHITE)) + 1
+        starts[after - 1] = True
+        starts[after[points[after - 1] == ord(" ")]] = False
+        quotes = np.flatnonzero(points == ord("'"))
+        quotes = quotes[starts[quotes]]
+        for ending in CONTRACTIONS if len(quotes) else ():
+            here = quotes
+            for k, sign in enumerate(ending, 1):
+                here = here[(points[here + k] == ord(sign)) & ~opens[here + k]]
+            starts[here + 1], starts[here + len(ending) + 1] = False, True
+        return np.flatnonzero(starts[:-2])
+
+    def _words(self, batch: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and how many each text has."""
+        if not self.own_split:
+            found = [self.pattern.findall(text) for text in batch]
+            return pa.array([w for words in found for w in words], pa.large_string()), np.array([len(x) for x in found], np.int64)
+        text, size = "".join(batch), np.array([len(x) for x in batch], np.int64)
+        data = text.encode()
+        if not data:
+            return pa.array([], pa.large_string()), size
+        ends = np.cumsum(size)
+        starts = self._starts(text, (ends - size)[size > 0])
+        counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+        if len(data) > len(text):
+            starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), counts
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, remembered or made."""
+        known, out, fresh = self.known, list(map(self.known.get, words)), []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            x = out[i] = self.before.get(words[i])
+            if x is None:
+                fresh.append(i)
             else:
-                out.append(b"".join(got))
-        found = {c: self.pattern.findall(c) for c in fresh}
-        new = list(dict.fromkeys([w for words in found.values() for w in words if w not in known]))
-        made = dict(zip(new, self.encode_words(new), strict=True))
-        for c, words in found.items():
-            if c not in made:
-                made[c] = b"".join([made.get(w) or known[w] for w in words])
-        for i, gaps, got in waiting:
-            for at, c in gaps:
-                got[at] = made[c]
-            out[i] = b"".join(got)
-        if len(known) + len(made) > CACHE_ENTRIES:
-            known.clear()
-            known[""] = b""
-        known.update([(w, x) for w, x in made.items() if len(w) <= LONG_WORD and len(found.get(w, "")) <= 2])  # longer chunks seldom recur
+                known[words[i]] = x
+        for i, x in zip(fresh, self.encode_words([words[i] for i in fresh]), strict=True):
+            out[i] = x
+            if len(words[i]) <= LONG_WORD:  # longer ones seldom recur
+                known[words[i]] = x
+        if len(known) > CACHE_ENTRIES // 2:
+            self.known, self.before = {}, known
         return out
 
+    def encode(self, batch: list[str]) -> list[bytes]:
+        words, counts = self._words(batch)
+        coded = words.dictionary_encode()
+        ids, which = self._ids(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        begins, sizes = (np.cumsum(n) - n)[which], n[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(begins - ends[:-1], sizes)
+        at += np.arange(len(at))
+        flat, cuts = np.frombuffer(b"".join(ids), "<u4")[at], ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def decode(self, batch: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. An id without a token is an error."""
         lengths = np.array([len(x) // 4 for x in batch], np.int64)
@@ -312,8 +352,16 @@ class Codec:
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-#: A space that white space or the end follows.
-_SPACES = regex.compile(r" (?:\s|\Z)")
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Every code point's kind, by the module that knows the pattern's classes."""
+    points, kinds = "".join(map(chr, range(0x110000))), np.zeros(0x110000, np.uint8)
+    for kind, run in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        for found in regex.finditer(run, points):
+            kinds[found.start() : found.end()] = kind
+    return kinds
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 

@@ -67,3 +67,41 @@ def test_tables(spark, reference):
     assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
     assert sorted(r.ids_sha256 for r in got) == sorted(hashlib.sha256(np.array(reference.encode_ordinary(t or ""), "<u4").tobytes()).hexdigest() for _, t in rows)
     assert bpe.round_trip(df.limit(0)).count() == 0 == bpe.decode(bpe.encode(df.limit(0))).count()
+
+
+def test_words_of_a_batch_are_found_at_once(codec, reference, monkeypatch):
+    """One search of the pattern for each stretch between spaces took most of the time of a batch of new words."""
+    rng, found = random.Random(9), codec.pattern.findall
+    signs = ["'", "'s", "'ll", "'re", "'v", "'r", "s", "l", "e", "é", "中", "1", "²", "Ⅷ", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "​", "́", "!", "_", "\0", "🙂"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(3000)] + ODD + ["'", "'s", "s", "'", "ll", "", " ", "x", "\n "]
+    want, searched = [found(t) for t in texts], []
+
+    class Search:
+        def findall(self, text):
+            searched.append(text)
+            return found(text)
+
+    monkeypatch.setattr(codec, "pattern", Search())
+    assert codec.encode(["edge fringe,\nborder rim. ", "ledge's 22 edges"]) and not searched
+    words, counts = codec._words(texts)
+    ends = np.cumsum(counts).tolist()
+    assert [words[a:b].to_pylist() for a, b in zip([0, *ends], ends, strict=False)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert codec.encode([]) == [] and codec.encode(["", ""]) == [b"", b""]
+
+
+def test_words_that_recur_stay_known(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 400)
+    made, encode_words = [], codec.encode_words
+    monkeypatch.setattr(codec, "encode_words", lambda words: made.extend(words) or encode_words(words))
+    codec.known.clear()
+    for i in range(20):
+        codec.encode([f"recurring words {'x'.join(' ' + 'ab' * k + chr(97 + i) for k in range(60))}"])
+    assert made.count(" words") == 1 and len(codec.known) <= 400
+
+
+def test_any_other_pattern(reference):
+    own = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), r"\w+|\W")
+    other = tiktoken.Encoding("other", pat_str=r"\w+|\W", mergeable_ranks=bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    texts = ["It's one, and  two.", "", "é中1 "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [other.encode_ordinary(t) for t in texts]
