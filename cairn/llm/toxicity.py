@@ -19,6 +19,8 @@ language and by GRID steps of the score, whatever the number of rows. Scoring co
 from __future__ import annotations
 
 import copy
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,12 +48,13 @@ ROUND_WORDS = 6_000_000
 #: Words that make a shard full, and a pack, the stored unit. All texts count, a longer one makes a larger shard.
 SHARD_WORDS = 2_000_000
 PACK_WORDS = 200_000
-#: Words whose windows are computed at once.
-BLOCK_WORDS = 50_000
+#: Words whose windows are computed at once; only speed and memory depend on it.
+BLOCK_WORDS = 16_000
 #: Steps of the score that thresholds are chosen from.
 GRID = 10_000
-#: Words whose rows a worker remembers; only speed depends on it.
-CACHE_ENTRIES = 120_000
+#: Bytes of text that are split and hashed at once, up to the next white space; of words with more than LONG bytes each is hashed alone.
+PIECE = 1 << 17
+LONG = 32
 PAD = max(WIDTHS) - 1
 STRIP = b".,;:!?\"'()[]{}<>*#%&$|-_"
 
@@ -66,8 +69,12 @@ NAMES = [*LANGUAGES, "other"]
 _VOTES = {w.encode(): frozenset(i for i, words in enumerate(LANGUAGES.values()) if w in words.split()) for ws in LANGUAGES.values() for w in ws.split()}
 
 
+def lowered(text: str) -> bytes:
+    return text.lower().encode()
+
+
 def split(text: str) -> list[bytes]:
-    return text.lower().encode().split()
+    return lowered(text).split()
 
 
 def buckets(word: bytes) -> tuple[int, int, int]:
@@ -84,6 +91,76 @@ def language(words: list[bytes]) -> int:
     return int(np.argmax(votes)) if any(votes) else len(LANGUAGES)
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_KIND = np.zeros(256, np.uint8)  # of a byte: 1 for white space, 2 if it is stripped
+_KIND[[*b" \t\n\v\f\r"]], _KIND[[*STRIP]] = 1, 2
+#: CRC-32 is linear: that of a word is that of as many zeros, and of each byte what it adds; a byte followed by k others adds _ADDS[k + 1]. Row 0 adds nothing.
+_ADDS = np.array([[0] * 256, *([zlib.crc32(bytes([b, *bytes(k)])) ^ zlib.crc32(bytes(k + 1)) for b in range(256)] for k in range(LONG))], np.uint32).ravel()
+_ZEROS = np.array([[zlib.crc32(bytes(n), start) for n in range(LONG + 1)] for start in (0, 4, 5)], np.uint32)
+#: The function words as numbers: their bytes, at most 7, and their length.
+_CODES, _CODE_VOTES = (np.array(x) for x in zip(*sorted((int.from_bytes(w, "little") | len(w) << 56, [i in v for i in range(len(LANGUAGES))]) for w, v in _VOTES.items()), strict=True))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.int64)
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where data's words begin, buckets() of each, and of the function words the places among the words and among _CODES."""
+    b = np.frombuffer(data + bytes(8), np.uint8)
+    kind = _KIND.take(b[: len(data)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], kind == 1, [True]])))
+    begin, end = edges[::2], edges[1::2]
+    short = np.flatnonzero(end - begin < 8)
+    codes = np.lib.stride_tricks.sliding_window_view(b, 8)[begin[short]].view(np.int64)[:, 0]
+    codes = codes & _MASKS[(end - begin)[short]] | (end - begin)[short] << 56
+    at = np.minimum(np.searchsorted(_CODES, codes), len(_CODES) - 1)
+    votes = _CODES[at] == codes
+    first, last = begin.copy(), end.copy()
+    edge = np.flatnonzero((kind[begin] == 2) | (kind[end - 1] == 2))
+    if len(edge):
+        inner = np.flatnonzero(kind == 0)
+        lo, hi = np.searchsorted(inner, begin[edge]), np.searchsorted(inner, end[edge])
+        edge, lo, hi = edge[lo < hi], lo[lo < hi], hi[lo < hi]  # a word of nothing else stays
+        first[edge], last[edge] = inner[lo], inner[hi - 1] + 1
+    size = last - first
+    long = np.flatnonzero(size > LONG)
+    size[long] = 5  # what their beginnings need
+    out = np.empty((len(first), 3), np.uint16)
+    ends = np.cumsum(size)
+    if len(first):
+        steps = np.arange(ends[-1])
+        left, letters = np.repeat(ends, size) - steps, b.take(np.repeat(first - ends + size, size) + steps)
+        whole = np.bitwise_xor.reduceat(_ADDS.take(left * 256 + letters), ends - size) ^ _ZEROS[0].take(size)
+        for i in long.tolist():
+            whole[i] = zlib.crc32(data[first[i] : last[i]])
+        out[:, 0] = whole % (BUCKETS - 1) + 1
+        heads = [b.take(first + j) for j in range(5)]
+        for c, most in ((1, 4), (2, 5)):
+            n = np.minimum(size, most)
+            crc = _ZEROS[c].take(n)
+            for j in range(most):
+                crc ^= _ADDS.take(np.maximum(n - j, 0) * 256 + heads[j])
+            out[:, c] = crc % (BUCKETS - 1) + 1
+    return begin, out, short[votes], at[votes]
+
+
+def hashed(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """buckets() of every word of the texts, how many words each text has, and its language()."""
+    data = [lowered(x) for x in batch]
+    whole = b" ".join(data)
+    starts = np.cumsum([0, *[len(x) + 1 for x in data]])[:-1]
+    counts, votes, ids, lo = np.zeros(len(batch), np.int64), np.zeros((len(batch), len(LANGUAGES)), np.int64), [np.zeros((0, 3), np.uint16)], 0
+    while lo < len(whole):
+        cut = _SPACE.search(whole, lo + PIECE)
+        hi = cut.start() if cut else len(whole)
+        begin, found, which, code = _words(whole[lo:hi])
+        owner = np.searchsorted(starts, begin + lo, "right") - 1
+        counts += np.bincount(owner, minlength=len(batch))
+        for i in range(len(LANGUAGES)):
+            votes[:, i] += np.bincount(owner[which[_CODE_VOTES[code, i]]], minlength=len(batch))
+        ids.append(found)
+        lo = hi
+    return np.concatenate(ids), counts, np.where(votes.any(1), votes.argmax(1), len(LANGUAGES))
+
+
 @dataclass
 class Model:
     table: np.ndarray  # BUCKETS x DIM
@@ -102,7 +179,10 @@ class Model:
         return cls(table, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), -1.0, np.full(len(NAMES), 0.5))
 
     def vectors(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[ids[:, 0]] + self.table[ids[:, 1]] + self.table[ids[:, 2]]
+        x = self.table.take(ids[:, 0], 0)
+        x += self.table.take(ids[:, 1], 0)
+        x += self.table.take(ids[:, 2], 0)
+        return x
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.weight + self.bias
@@ -115,43 +195,55 @@ def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for d in docs for x in (d, gap)]), starts
 
 
-def _maxima(m: Model, ids: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each width the texts' maxima (before the cut at 0) and their first places, in blocks, so that memory doesn't follow a text's length."""
-    tops = [np.full((len(starts), FILTERS), -np.inf, np.float32) for _ in WIDTHS]
-    places = [np.zeros((len(starts), FILTERS), np.int64) for _ in WIDTHS]
+def _maxima(m: Model, ids: np.ndarray, starts: np.ndarray, placed: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width the texts' maxima (before the cut at 0) and, if placed, their first places, in blocks, so that memory doesn't follow a text's length."""
+    tops = np.full((len(starts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+    places = np.zeros(tops.shape, np.int64)
+    matrix = np.concatenate([f[j] for f in m.filters for j in range(len(f))], 1).T.copy()
+    shift = np.concatenate(m.shift)
     for lo in range(0, len(ids), BLOCK_WORDS):
         hi = min(len(ids), lo + BLOCK_WORDS)
-        n, pad = hi - lo, ~ids[lo:hi].any(1)
+        n, pad = hi - lo, np.flatnonzero(ids[lo:hi, 1] == 0)
         x = m.vectors(ids[lo : hi + PAD])
-        x = np.concatenate([x, np.zeros((n + PAD - len(x), DIM), np.float32)])
+        products = np.zeros((len(matrix), n + PAD), np.float32)
+        np.matmul(matrix, x.T, out=products[:, : len(x)])
+        y, row = np.empty((len(shift), n), np.float32), 0
+        for k, w in enumerate(WIDTHS):
+            part = y[k * FILTERS : (k + 1) * FILTERS]
+            part[:] = products[row : row + FILTERS, :n]
+            for j in range(1, w):
+                part += products[row + j * FILTERS : row + (j + 1) * FILTERS, j : j + n]
+            row += w * FILTERS
+        y[:, pad] = 0  # else a window there would reach into the next text
+        y += shift[:, None]
         first = int(np.searchsorted(starts, lo, "right")) - 1
-        docs = np.arange(first, int(np.searchsorted(starts, hi, "left")))
+        docs = slice(first, int(np.searchsorted(starts, hi, "left")))
         begin = np.maximum(starts[docs], lo) - lo
-        own = np.repeat(np.arange(len(docs)), np.diff([*begin, n]))
-        for k, (w, f, b) in enumerate(zip(WIDTHS, m.filters, m.shift, strict=True)):
-            y = sum(x[j : j + n] @ f[j] for j in range(w))
-            y[pad] = 0  # else a window there would reach into the next text
-            y += b
-            top = np.maximum.reduceat(y, begin)
-            at = np.zeros(top.shape, np.int64)
-            rows, cols = np.nonzero(y == top[own])
-            at[own[rows[::-1]], cols[::-1]] = rows[::-1] + lo
-            better = top > tops[k][docs]
-            tops[k][docs] = np.where(better, top, tops[k][docs])
-            places[k][docs] = np.where(better, at, places[k][docs])
-    return tops, places
+        top = np.maximum.reduceat(y, begin, 1).T
+        if placed:
+            at = np.array([y[:, a:b].argmax(1) for a, b in zip(begin, [*begin[1:], n], strict=True)]) + begin[:, None] + lo
+            places[docs] = np.where(top > tops[docs], at, places[docs])
+        tops[docs] = np.maximum(top, tops[docs])
+    cuts = [slice(k * FILTERS, (k + 1) * FILTERS) for k in range(len(WIDTHS))]
+    return [tops[:, c] for c in cuts], [places[:, c] for c in cuts]
+
+
+def pooled(m: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.maximum(np.concatenate(_maxima(m, ids, starts, False)[0], 1), 0)
 
 
 def probabilities(m: Model, docs: list[np.ndarray]) -> np.ndarray:
-    pooled = [np.maximum(np.concatenate(_maxima(m, *_padded(docs[lo : lo + 256]))[0], 1), 0) for lo in range(0, len(docs), 256)]
-    return 1 / (1 + np.exp(-np.clip(m.logit(np.concatenate(pooled)), -30, 30)))
+    found = [pooled(m, *_padded(docs[lo : lo + 256])) for lo in range(0, len(docs), 256)]
+    return 1 / (1 + np.exp(-np.clip(m.logit(np.concatenate(found)), -30, 30)))
 
 
 def seen_in(docs: list[np.ndarray]) -> np.ndarray:
     """How many of the texts use each row of the table."""
-    found = np.zeros(BUCKETS, np.int64)
+    found, last = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for d in docs:
-        found[np.unique(d)] += 1
+        rows, at = d.ravel().astype(np.int64), np.arange(d.size)
+        last[rows] = at
+        found[rows[last[rows] == at]] += 1  # each row once
     return found
 
 
@@ -201,7 +293,7 @@ class State:
             for lo in range(0, len(order), BATCH):
                 part = order[lo : lo + BATCH]
                 ids, starts = _padded([docs[i] for i in part])
-                pad = ~ids.any(1)
+                pad = ids[:, 1] == 0
                 ids[rng.random(len(ids)) < 0.03, 0] = 0  # some words are known by their first bytes only
                 tops, places = _maxima(m, ids, starts)
                 p = np.concatenate([np.maximum(t, 0) for t in tops], 1)
@@ -229,9 +321,10 @@ class State:
                 rows, grads = np.concatenate(hit_rows), np.concatenate(hit_grads)
                 for c in range(3):
                     target = ids[rows, c]
-                    found, inverse = np.unique(target, return_inverse=True)
-                    total = np.zeros((len(found), DIM), np.float32)
-                    np.add.at(total, inverse, grads)
+                    by_row = np.argsort(target, kind="stable")
+                    target = target[by_row]
+                    begin = np.flatnonzero(np.diff(target, prepend=-1))
+                    found, total = target[begin], np.add.reduceat(grads.take(by_row, 0), begin, 0)
                     total[rare[found]] = 0
                     table_squares[found] += (total**2).mean(1)
                     m.table[found] -= rate * total / np.sqrt(table_squares[found])[:, None]
@@ -245,75 +338,29 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, seed: i
 
 
 class Scorer:
-    """Scores texts. Each word's product with every filter position is kept, so a text costs a gather, a few sums and a maximum."""
+    """Scores texts, some at a time; a very long one in blocks that overlap."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.matrix = np.concatenate([f[j] for f in model.filters for j in range(len(f))], 1)
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.known = 1  # row 0 is the padding
-        self.products = np.zeros((1 << 14, self.matrix.shape[1]), np.float32)
-        self.votes = np.zeros((1 << 14, len(LANGUAGES)), np.int8)
-
-    def add(self, new: list[bytes]) -> None:
-        first, last = self.known, self.known + len(new)
-        if last > len(self.products):
-            grow = lambda x: np.concatenate([x, np.zeros((last * 3 // 2 - len(x), x.shape[1]), x.dtype)])
-            self.products, self.votes = grow(self.products), grow(self.votes)
-        self.products[first:last] = self.model.vectors(np.array([buckets(w) for w in new])) @ self.matrix
-        for i, w in enumerate(new, first):
-            for k in _VOTES.get(w, ()):
-                self.votes[i, k] = 1
-        self.row.update(zip(new, range(first, last), strict=True))
-        self.known = last
-
-    def rows(self, text: str) -> np.ndarray:
-        """The text's words as rows, and the padding."""
-        words = split(text)
-        got = list(map(self.row.get, words))
-        if None in got:
-            self.add(list(dict.fromkeys([w for w, i in zip(words, got, strict=True) if i is None])))
-            got = list(map(self.row.__getitem__, words))
-        return np.array(got + [0] * PAD, np.int32)
-
-    def block(self, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maxima and votes between the starts; at has PAD rows more than are scored."""
-        p, n, column, tops = self.products[at], len(at) - PAD, 0, []
-        for w, shift in zip(WIDTHS, self.model.shift, strict=True):
-            y = p[:n, column : column + FILTERS].copy()
-            for j in range(1, w):
-                y += p[j : n + j, column + j * FILTERS : column + (j + 1) * FILTERS]
-            column += w * FILTERS
-            y[at[:n] == 0] = 0  # else a window there would reach into the next text
-            tops.append(np.maximum.reduceat(y, starts) + shift)
-        return np.maximum(np.concatenate(tops, 1), 0), np.add.reduceat(self.votes[at[:n]], starts, dtype=np.int64)
 
     def score(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rescaled scores, and the guessed languages."""
-        pooled, votes = np.zeros((len(batch), FILTERS * len(WIDTHS)), np.float32), np.zeros((len(batch), len(LANGUAGES)), np.int64)
+        found, langs = [np.zeros((0, FILTERS * len(WIDTHS)), np.float32)], [np.zeros(0, np.int64)]
         lo = 0
-        end = np.zeros(PAD, np.int32)
-        while lo < len(batch):  # some texts at a time; a very long one in blocks that overlap
-            if len(self.row) > CACHE_ENTRIES:
-                self.forget()
-            held, size, hi = [], 0, lo
-            while hi < len(batch) and (size < 20_000 or not held):
-                held.append(self.rows(batch[hi]))
-                size += len(held[-1])
+        while lo < len(batch):
+            size, hi = len(batch[lo]), lo + 1
+            while hi < len(batch) and size + len(batch[hi]) < PIECE:
+                size += len(batch[hi])
                 hi += 1
-            at = np.concatenate([*held, end])
-            if len(held) == 1:
-                for a in range(0, size, 50_000):
-                    top, vote = self.block(at[a : min(size, a + 50_000) + PAD], np.zeros(1, np.int64))
-                    pooled[lo], votes[lo] = np.maximum(pooled[lo], top[0]), votes[lo] + vote[0]
-            else:
-                pooled[lo:hi], votes[lo:hi] = self.block(at, np.cumsum([0, *map(len, held)])[:-1])
+            ids, counts, lang = hashed(batch[lo:hi])
+            starts = np.cumsum(counts + PAD) - counts - PAD
+            padded = np.zeros((len(ids) + PAD * len(counts), 3), np.uint16)
+            padded[np.arange(len(ids)) + np.repeat(PAD * np.arange(len(counts)), counts)] = ids
+            found.append(pooled(self.model, padded, starts))
+            langs.append(lang)
             lo = hi
-        p = 1 / (1 + np.exp(-np.clip(self.model.logit(pooled), -30, 30)))
-        lang = np.where(votes.any(1), votes.argmax(1), len(LANGUAGES))
+        p = 1 / (1 + np.exp(-np.clip(self.model.logit(np.concatenate(found)), -30, 30)))
+        lang = np.concatenate(langs)
         return rescaled(p, self.model.thresholds[lang]), lang
 
 
@@ -377,12 +424,16 @@ def packs(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=[x.split()[0] for x in PACK.split(", ")])
 
         for b in batches:
-            for key, c, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), texts(b.column(3)), strict=True):
-                words = split(text)
-                held[c].append((key, int(toxic), np.array([buckets(w) for w in words], np.uint16).reshape(-1, 3), language(words)))
-                size[c] += len(words) + PAD
-                if size[c] >= PACK_WORDS:
-                    yield pack(c)
+            given = texts(b.column(3))
+            rows = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            for lo in range(0, len(given), 16):
+                ids, counts, lang = hashed(given[lo : lo + 16])
+                ends = np.cumsum(counts)
+                for n, a, z, (key, c, toxic) in zip(lang.tolist(), ends - counts, ends, itertools.islice(rows, len(counts)), strict=True):
+                    held[c].append((key, int(toxic), ids[a:z], n))
+                    size[c] += int(z - a) + PAD
+                    if size[c] >= PACK_WORDS:
+                        yield pack(c)
         for c in held:
             if held[c]:
                 yield pack(c)

@@ -96,3 +96,29 @@ def test_blocks_make_no_difference(monkeypatch):
     monkeypatch.setattr(t, "BLOCK_WORDS", 7)
     cut = t._maxima(model, *t._padded(ids))
     assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole[0], cut[0]))
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """A batch's words get the rows, counts and languages that they get one by one, and scoring doesn't go word by word."""
+    rng = random.Random(6)
+    parts = ["a", "B", "ß", "é", "İ", "Σ", "😀", "\0", " ", "  ", "\t\n", "\x1c", "\xa0", ".", "--", "#", "the ", "und ", "más ", "für", "nicht", "x" * 31, "y" * 40, "." * 35]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(50))) for _ in range(400)]
+    texts += ["", " \n", "...", "the\0 the", "z" * 5000, "." * 5000 + " the el el", *[x for _, x, _ in made(30, 7)]]
+    words = [t.split(x) for x in texts]
+    for piece in (t.PIECE, 7):
+        monkeypatch.setattr(t, "PIECE", piece)
+        for lo, hi in ((0, len(texts)), (3, 4), (400, 402), (0, 0)):
+            ids, counts, lang = t.hashed(texts[lo:hi])
+            assert ids.tolist() == [list(t.buckets(w)) for ws in words[lo:hi] for w in ws]
+            assert counts.tolist() == [len(ws) for ws in words[lo:hi]] and lang.tolist() == [t.language(ws) for ws in words[lo:hi]]
+    model = t.Model.start(1)
+    one_by_one = t.probabilities(model, [np.array([t.buckets(w) for w in ws], np.int32).reshape(-1, 3) for ws in words])
+    monkeypatch.setattr(t, "buckets", None)
+    monkeypatch.setattr(t, "language", None)
+    assert np.allclose(t.Scorer(model).score(texts)[0], one_by_one, atol=1e-6)  # 0.5 is the threshold
+
+
+def test_each_text_counts_once_for_a_row():
+    docs = [np.array([[5, 6, 6], [5, 7, 8]], np.uint16), np.zeros((0, 3), np.uint16), np.array([[9, 5, 9]], np.uint16)]
+    seen = t.seen_in(docs)
+    assert {int(i): int(seen[i]) for i in np.flatnonzero(seen)} == {5: 2, 6: 1, 7: 1, 8: 1, 9: 1}
